@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, language, licenses, packing, sharding, simhash, substrings
+from tessera.llm import decontaminate, html, language, licenses, packing, pseudonyms, sharding, simhash, substrings
 from tessera.llm.common import table
 
 
@@ -23,10 +23,19 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.classify(docs, language.train(docs))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -44,7 +53,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_decontamination,
         op2_fingerprints,
         op4_language,
+        op5_main_text,
         op6_licenses,
+        op7_pseudonyms,
         op8_packing,
         op9_substrings,
         op10_sharding,
