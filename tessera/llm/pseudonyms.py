@@ -27,6 +27,8 @@ PATTERNS = {
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Stands in every text that has a match.
+HINT = "[0-9@]|AKIA|ASIA"
 #: Days from the first of January 1900 to the end of 2099, and two factors whose product is hardly larger.
 DAYS, DAY_FACTORS, DAY_ONE = 73_049, (271, 270), "1900-01-01"
 
@@ -55,21 +57,32 @@ def permute_pair(left: Column, right: Column, a: int, b: int, tweak: Column) ->
     return _rounds(F.struct(left.cast("long").alias("l"), right.cast("long").alias("r")), step)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: lambdas aren't compiled, so what stands in one runs as often as it does."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _shift(text: Column, stream: Column, letters: tuple[str, ...]) -> Column:
     """Moves each character on within its alphabet by 16 bits of the stream; characters of no alphabet stay."""
 
-    def one(j: Column) -> Column:
-        c = F.substr(text, j, F.lit(1))
-        by = F.conv(F.substr(stream, j * 4 - 3, F.lit(4)), 16, 10).cast("int")
-        out = c
-        for alphabet in letters:
-            at = F.instr(F.lit(alphabet), c)
-            moved = F.substr(F.lit(alphabet), (at - 1 + by) % len(alphabet) + 1, F.lit(1))
-            out = F.when(at > 0, moved).otherwise(out)
-        return out
+    def one(j: Column, hashed: Column) -> Column:
+        def moved(c: Column, at: Column) -> Column:
+            by = F.conv(F.substr(hashed, j * 4 - 3, F.lit(4)), 16, 10).cast("int")
+            base, size, below = F.lit(0), F.lit(len(letters[0])), len(letters[0])
+            for alphabet in letters[1:]:
+                base = F.when(at > below, below).otherwise(base)
+                size = F.when(at > below, len(alphabet)).otherwise(size)
+                below += len(alphabet)
+            return F.when(at == 0, c).otherwise(
+                F.substr(F.lit("".join(letters)), base + (at - 1 - base + by) % size + 1, F.lit(1))
+            )
+
+        return let(F.substr(text, j, F.lit(1)), lambda c: moved(c, F.instr(F.lit("".join(letters)), c)))
 
     places = F.sequence(F.lit(1), F.length(text))
-    return F.when(F.length(text) == 0, F.lit("")).otherwise(F.array_join(F.transform(places, one), ""))
+    return F.when(F.length(text) == 0, F.lit("")).otherwise(
+        let(stream, lambda hashed: F.array_join(F.transform(places, lambda j: one(j, hashed)), ""))
+    )
 
 
 def permute_text(text: Column, tweak: Column, letters: tuple[str, ...]) -> Column:
@@ -90,8 +103,9 @@ def permute_text(text: Column, tweak: Column, letters: tuple[str, ...]) -> Colum
     start = F.struct(
         F.substr(text, F.lit(1), half).alias("l"), F.substr(text, half + 1, F.length(text)).alias("r")
     )
-    end = _rounds(start, step)
-    return F.concat(end["l"], end["r"])
+    return F.aggregate(
+        F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda end: F.concat(end["l"], end["r"])
+    )
 
 
 def _walk(start: Column, step: Callable[[Column], Column], valid: Callable[[Column], Column]) -> Column:
@@ -137,42 +151,54 @@ def luhn_sum(digits: Column) -> Column:
 
 def _card(m: Column, key: Column) -> Column:
     """Keeps the first digit, moves the others but the last, which is the check digit made anew."""
-    d = _digits(m)
-    first = F.substr(d, F.lit(1), F.lit(1))
-    body = F.substr(d, F.lit(2), F.length(d) - 2)
-    made = F.concat(first, permute_text(body, F.concat_ws("|", key, F.lit("card"), first), _DIGITS))
-    check = (10 - luhn_sum(F.concat(made, F.lit("0"))) % 10) % 10
-    return F.when(luhn_sum(d) % 10 == 0, _refill(m, F.concat(made, check.cast("string"))))
+
+    def made(d: Column) -> Column:
+        first = F.substr(d, F.lit(1), F.lit(1))
+        body = F.substr(d, F.lit(2), F.length(d) - 2)
+        return F.concat(first, permute_text(body, F.concat_ws("|", key, F.lit("card"), first), _DIGITS))
+
+    def checked(x: Column) -> Column:
+        return F.concat(x, ((10 - luhn_sum(F.concat(x, F.lit("0"))) % 10) % 10).cast("string"))
+
+    return let(
+        _digits(m),
+        lambda d: F.when(luhn_sum(d) % 10 == 0, let(let(made(d), checked), lambda x: _refill(m, x))),
+    )
 
 
 def _phone(m: Column, key: Column) -> Column:
     """Moves the ten national digits; numbers with an area code and an exchange from 200 up stay so."""
-    d = _digits(m)
-    tail = F.substr(d, F.length(d) - 9, F.lit(10))
-    head = F.substr(d, F.lit(1), F.length(d) - 10)
 
-    def valid(x: Column) -> Column:
-        return x.rlike("^[2-9]..[2-9]") == tail.rlike("^[2-9]..[2-9]")
+    def moved(d: Column, tail: Column) -> Column:
+        def valid(x: Column) -> Column:
+            return x.rlike("^[2-9]..[2-9]") == tail.rlike("^[2-9]..[2-9]")
+
+        made = _walk(tail, lambda x: permute_text(x, F.concat_ws("|", key, F.lit("phone")), _DIGITS), valid)
+        return let(F.concat(F.substr(d, F.lit(1), F.length(d) - 10), made), lambda x: _refill(m, x))
 
-    made = _walk(tail, lambda x: permute_text(x, F.concat_ws("|", key, F.lit("phone")), _DIGITS), valid)
-    return _refill(m, F.concat(head, made))
+    return let(_digits(m), lambda d: let(F.substr(d, F.length(d) - 9, F.lit(10)), lambda tail: moved(d, tail)))
 
 
 def _ssn(m: Column, key: Column) -> Column:
     """Valid numbers: no area 000, 666 or from 900 up, no group 00, no serial 0000."""
     rule = "^(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}$"
-    d = _digits(m)
-    made = _walk(d, lambda x: permute_text(x, F.concat_ws("|", key, F.lit("ssn")), _DIGITS), lambda x: x.rlike(rule))
-    return F.when(d.rlike(rule), _refill(m, made))
+
+    def moved(d: Column) -> Column:
+        return _walk(d, lambda x: permute_text(x, F.concat_ws("|", key, F.lit("ssn")), _DIGITS), lambda x: x.rlike(rule))
+
+    return let(_digits(m), lambda d: F.when(d.rlike(rule), let(moved(d), lambda x: _refill(m, x))))
 
 
 def _ip(m: Column, key: Column) -> Column:
     """IPv4 addresses without leading zeros, as a permutation of the 32-bit numbers."""
     part = F.split(m, r"\.")
     o = [F.get(part, F.lit(k)).cast("int") for k in range(4)]
-    s = permute_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, F.concat_ws("|", key, F.lit("ip")))
-    out = F.concat_ws(
-        ".", *[x.cast("string") for x in (F.shiftright(s["l"], 8), s["l"] % 256, F.shiftright(s["r"], 8), s["r"] % 256)]
+    out = let(
+        permute_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, F.concat_ws("|", key, F.lit("ip"))),
+        lambda s: F.concat_ws(
+            ".",
+            *[x.cast("string") for x in (F.shiftright(s["l"], 8), s["l"] % 256, F.shiftright(s["r"], 8), s["r"] % 256)],
+        ),
     )
     return F.when((F.greatest(*o) <= 255) & ~m.rlike(r"(^|\.)0[0-9]"), out)
 
@@ -181,18 +207,19 @@ def _day(date: Column, key: Column, valid: Callable[[Column], Column] | None = N
     """The pseudonym of a date from 1900 to 2099, else null."""
     a, b = DAY_FACTORS
     first = F.to_date(F.lit(DAY_ONE))
-    n = F.datediff(date, first).cast("long")
 
     def step(x: Column) -> Column:
         s = permute_pair(F.floor(x / b), x % b, a, b, F.concat_ws("|", key, F.lit("date")))
-        return s["l"] * b + s["r"]
+        return let(s, lambda p: p["l"] * b + p["r"])
 
     def fine(x: Column) -> Column:
         inside = (x >= 0) & (x < DAYS)
         return inside & valid(F.date_add(first, F.least(x, F.lit(DAYS - 1)).cast("int"))) if valid else inside
 
-    made = F.date_add(first, _walk(n, step, fine).cast("int"))
-    return F.when((n >= 0) & (n < DAYS), made)
+    return let(
+        F.datediff(date, first).cast("long"),
+        lambda n: F.when((n >= 0) & (n < DAYS), F.date_add(first, _walk(n, step, fine).cast("int"))),
+    )
 
 
 def _date(m: Column, pattern: str) -> Column:
@@ -264,28 +291,28 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
         lambda m: F.struct(m.alias("m"), _kind(m).alias("k")),
     )
     made = F.transform(
-        F.col("_found"), lambda x: F.struct(x["k"].alias("k"), x["m"].alias("m"), pseudonym(x["m"], x["k"], k).alias("p"))
+        F.col("__pii_found"), lambda x: F.struct(x["k"].alias("k"), x["m"].alias("m"), pseudonym(x["m"], x["k"], k).alias("p"))
     )
     # The pieces between the matches, one more than there are matches.
     joined = F.zip_with(
         F.split(text, ANY, -1),
-        F.col("_made"),
+        F.col("__pii_made"),
         lambda piece, x: F.concat(piece, F.coalesce(x["p"], x["m"], F.lit(""))),
     )
     none = F.array().cast("array<struct<m:string,k:string>>")
-    out = docs.withColumn("_found", F.when(text.rlike(ANY), found).otherwise(none))
-    out = out.withColumn("_made", made)
-    valid = F.filter(F.col("_made"), lambda x: x["p"].isNotNull())
+    out = docs.withColumn("__pii_found", F.when(text.rlike(HINT) & text.rlike(ANY), found).otherwise(none))
+    out = out.withColumn("__pii_made", made)
+    valid = F.filter(F.col("__pii_made"), lambda x: x["p"].isNotNull())
     out = out.withColumns(
         {
-            "_text": F.when(F.size("_made") > 0, F.array_join(joined, "")).otherwise(text),
+            "__pii_text": F.when(F.size("__pii_made") > 0, F.array_join(joined, "")).otherwise(text),
             "n_private": F.size(valid).cast("long"),
             "private_kinds": F.array_join(F.array_sort(F.array_distinct(F.transform(valid, lambda x: x["k"]))), ","),
         }
     )
-    changes = {"text": F.col("_text")}
+    changes = {"text": F.col("__pii_text")}
     if "n_chars" in docs.columns:
-        changes["n_chars"] = F.when(F.size("_made") > 0, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(
+        changes["n_chars"] = F.when(F.size("__pii_made") > 0, F.length("__pii_text").cast(docs.schema["n_chars"].dataType)).otherwise(
             F.col("n_chars")
         )
-    return out.withColumns(changes).drop("_found", "_made", "_text")
+    return out.withColumns(changes).drop("__pii_found", "__pii_made", "__pii_text")
