@@ -102,3 +102,22 @@ def numbered(df: DataFrame, group: str, order: list[str | Column], out: str) ->
         .withColumn(out, F.col("_mid") - F.col("_first") + F.col("_before"))
     )
     return told.drop("_mid", "_pid", "_first", "_before"), [(g, n) for g, n in before.items()]
+
+
+#: A key with more than this share of all rows is hot; there are at most 1000 such keys, which bounds their broadcast.
+HOT_SHARE = 0.001
+
+
+def hot_join(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """rows joined to keyed, which has each key once, on key. weight: how many rows have the key; total: of all rows.
+    Hot keys are joined by broadcast and so never meet in one task, the others by a shuffle."""
+    most = max(1.0, HOT_SHARE * total)
+    hot = F.broadcast(keyed.where(F.col(weight) > most).drop(weight))
+    cold = keyed.where(F.col(weight) <= most).drop(weight)
+    rest = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(cold, key))
+
+
+def thin(df: DataFrame, ids: DataFrame, on: str, how: str, most: int = 500_000) -> DataFrame:
+    """df joined to the distinct ids by a semi or anti join: by broadcast up to ``most`` ids, else by a shuffle."""
+    return df.join(F.broadcast(ids) if ids.count() <= most else ids.hint("merge"), on, how)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, html, language, licenses, packing, pseudonyms, sharding, simhash, substrings
+from tessera.llm import decontaminate, html, language, licenses, neardup, packing, pseudonyms, sharding, simhash, substrings
 from tessera.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.compare(table(spark, sf_dir, "documents"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.classify(docs, language.train(docs))
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontamination,
         op2_fingerprints,
+        op3_near_duplicates,
         op4_language,
         op5_main_text,
         op6_licenses,

@@ -7,12 +7,10 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, numbered, union
+from tessera.llm.common import cut, hot_join, numbered
 
 #: Sizes keep so many leading bits, so there are at most 2**10 * 54 distinct classes whatever the data.
 MANTISSA_BITS = 11
-#: A group with more than this share of all rows is joined by broadcast; there are at most 1000 such groups.
-HOT_SHARE = 0.001
 
 
 def schedule(runs: list[tuple[int, int, int]], shards: int) -> dict[int, list[int]]:
@@ -84,11 +82,9 @@ def shard(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
     placed = ranked.join(ends, "_class").select(
         "_key", "_rows", F.expr("size(filter(_ends, e -> e <= _rank))").cast("int").alias("shard")
     )
-    hot = placed.where(F.col("_rows") > max(1.0, HOT_SHARE * rows)).drop("_rows")
-    cold = placed.where(F.col("_rows") <= max(1.0, HOT_SHARE * rows)).drop("_rows")
-    of_hot = keys.join(F.broadcast(hot), "_key")
-    of_cold = keys.join(F.broadcast(hot.select("_key")), "_key", "left_anti").join(cold, "_key")
-    told, _ = numbered(union([of_hot, of_cold]).drop("_key"), "shard", ["doc_id", "text_crc32"], "slot")
+    told, _ = numbered(
+        hot_join(keys, placed, "_key", "_rows", rows).drop("_key"), "shard", ["doc_id", "text_crc32"], "slot"
+    )
     return told.select(
         "doc_id",
         "size",
