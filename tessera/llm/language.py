@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import map_batches
 
@@ -126,7 +127,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
 
 
 def classify(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: bool = False) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of each row; with ``keep``, all columns of docs besides.
+    """doc_id, held_out, lang_pred, score of each row; with ``keep``, all columns of docs, with __held_out, __lang_pred
+    and __score besides.
 
     score is the cosine with the nearest prototype, 0 at least. Null texts, texts without a letter, and all texts if
     nothing was learned are ``und`` with score 0. Ties go to the first language in alphabetical order. lang, source and
@@ -135,10 +137,14 @@ def classify(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: bool = Fa
     names = [*prototypes]
     matrix = np.array([prototypes[n] for n in names], np.float32).reshape(len(names), DIMENSIONS)
     shared = docs.sparkSession.sparkContext.broadcast((names, matrix))
-    base = docs if keep else docs.select("doc_id", "text")
-    sent = base.withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    out_names = [c for c in sent.columns if keep or c != "text"]
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema if f.name in out_names)
+    mark = "__" if keep else ""
+    held, pred, sure = f"{mark}held_out", f"{mark}lang_pred", f"{mark}score"
+    sent = (docs if keep else docs.select("doc_id", "text")).withColumn(
+        held, F.coalesce(held_out(F.col("doc_id")), F.lit(False))
+    )
+    kept = [f for f in sent.schema if keep or f.name != "text"]
+    out_names = [f.name for f in kept]
+    kind = T.StructType([*kept, T.StructField(pred, T.StringType()), T.StructField(sure, T.DoubleType())])
 
     def make():  # noqa: ANN202
         langs, protos = shared.value
@@ -148,19 +154,19 @@ def classify(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: bool = Fa
             norm = np.linalg.norm(v, axis=1)
             out = {n: batch.column(n) for n in out_names}
             if not langs:
-                return out | {"lang_pred": [UNKNOWN] * len(v), "score": [0.0] * len(v)}
+                return out | {pred: [UNKNOWN] * len(v), sure: [0.0] * len(v)}
             cos = v @ protos.T / np.where(norm > 0, norm, 1)[:, None]
             best = cos.argmax(axis=1)
             score = np.clip(cos[np.arange(len(v)), best], 0, 1).astype(float)
             empty = norm == 0
             return out | {
-                "lang_pred": [UNKNOWN if e else langs[b] for b, e in zip(best, empty, strict=True)],
-                "score": np.where(empty, 0.0, score).tolist(),
+                pred: [UNKNOWN if e else langs[b] for b, e in zip(best, empty, strict=True)],
+                sure: np.where(empty, 0.0, score).tolist(),
             }
 
         return of
 
-    return map_batches(sent, f"{kind}, lang_pred string, score double", make)
+    return map_batches(sent, kind, make)
 
 
 def accuracy(pred: DataFrame, docs: DataFrame) -> pd.DataFrame:

@@ -276,10 +276,11 @@ def pseudonym(m: Column, kind: Column, key: Column) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str = KEY, report: bool = True) -> DataFrame:
     """docs with each valid e-mail address, access key, secret, IPv4 address, phone, social security and card number and
     date in text replaced by its pseudonym: a keyed permutation within its format, so equal values stay equal in all
-    documents and different ones different. n_chars, if there, follows the text. Adds n_private and private_kinds.
+    documents and different ones different. n_chars, if there, follows the text. With ``report``, adds n_private and private_kinds,
+    in the place of columns so named.
 
     Numbers that fail validation (check digit, octets, calendar) stay. Null texts stay null, with n_private 0. All of it
     is a projection: no shuffle, no Python.
@@ -303,16 +304,13 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     out = docs.withColumn("__pii_found", F.when(text.rlike(HINT) & text.rlike(ANY), found).otherwise(none))
     out = out.withColumn("__pii_made", made)
     valid = F.filter(F.col("__pii_made"), lambda x: x["p"].isNotNull())
-    out = out.withColumns(
-        {
-            "__pii_text": F.when(F.size("__pii_made") > 0, F.array_join(joined, "")).otherwise(text),
-            "n_private": F.size(valid).cast("long"),
-            "private_kinds": F.array_join(F.array_sort(F.array_distinct(F.transform(valid, lambda x: x["k"]))), ","),
-        }
-    )
+    out = out.withColumn("__pii_text", F.when(F.size("__pii_made") > 0, F.array_join(joined, "")).otherwise(text))
     changes = {"text": F.col("__pii_text")}
     if "n_chars" in docs.columns:
         changes["n_chars"] = F.when(F.size("__pii_made") > 0, F.length("__pii_text").cast(docs.schema["n_chars"].dataType)).otherwise(
             F.col("n_chars")
         )
+    if report:
+        kinds = F.array_sort(F.array_distinct(F.transform(valid, lambda x: x["k"])))
+        changes |= {"n_private": F.size(valid).cast("long"), "private_kinds": F.array_join(kinds, ",")}
     return out.withColumns(changes).drop("__pii_found", "__pii_made", "__pii_text")
