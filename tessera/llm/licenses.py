@@ -47,7 +47,7 @@ class Notices:
         for k, (phrase, label) in enumerate(notices):
             errors = min(most, len(phrase) // per)
             # A match starts and ends at word bounds.
-            pattern = regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(phrase)}){{e<={errors}}}(?![^ ])")
+            pattern = regex.compile(rf"(?e)(?<![^ ])(?:{regex.escape(phrase)}){{e<={errors}}}(?![^ ])")
             self.notices.append((phrase, label, errors, pattern))
             cuts = [len(phrase) * i // (errors + 1) for i in range(errors + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):

@@ -91,7 +91,7 @@ def _distinct(bucket: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _rows(block: int, bucket: np.ndarray, data: np.ndarray) -> dict[str, list]:
     """A row for each bucket: bucket is sorted."""
     at = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else np.empty(0, np.int64)
-    ends = [*at[1:], len(bucket)]
+    ends = [*at[1:], len(bucket)][: len(at)]
     return {
         "block": [block] * len(at),
         "bucket": [int(bucket[a]) for a in at],
