@@ -44,11 +44,24 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+#: Rows that Spark sends to Python at once. Its default of 10,000 documents fills large buffers outside of the heap.
+BATCH_ROWS = 1000
+
+
+def lean(spark: SparkSession) -> None:
+    """Lowers the session's rows a batch to BATCH_ROWS, unless they are fewer already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "0"))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def map_batches(
     df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[[pa.RecordBatch], dict]], rows: int = 512
 ) -> DataFrame:
     """mapInArrow in slices of at most ``rows`` rows. ``make`` runs once a task and returns the function of a slice,
     which returns columns by name."""
+    lean(df.sparkSession)
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
 

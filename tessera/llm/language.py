@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import map_batches
+from tessera.llm.common import lean, map_batches
 
 DIMENSIONS = 1024
 SEED = 20240229
@@ -90,6 +90,7 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
     """A prototype for each language: the normalised sum of normalised document vectors, from at most about ``sample``
     documents of it, none of them held out. Rows with null lang or text teach nothing."""
+    lean(docs.sparkSession)
     known = docs.select(F.col("doc_id"), "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False))
     )
