@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.schema import ANNOTATION, conform
+from tessera.schema import ANNOTATION, COLLECTION, conform
 
 # What annotations may be.
 TYPES = ("highlight", "bookmark", "note", "tag")
@@ -72,6 +72,15 @@ def without_member(collections: DataFrame, note_id: str) -> DataFrame:
     return collections.withColumn("annotation_ids", F.filter("annotation_ids", lambda x: x != note_id))
 
 
+def new_collection(collections: DataFrame, collection_id: str, name: str, members: list[str], now: datetime) -> DataFrame:
+    made = collections.sparkSession.createDataFrame([(collection_id, name, members, now)], COLLECTION)
+    return conform(collections, COLLECTION).unionByName(made)
+
+
+def delete_collection(collections: DataFrame, collection_id: str) -> DataFrame:
+    return collections.where(F.col("id") != collection_id)
+
+
 def retarget(notes: DataFrame, moves: DataFrame, remap: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Notes after files moved (old, new) and nodes were renamed (old, new; null: gone, the note is stale); and how many
     were remapped and how many went stale."""
@@ -125,6 +134,21 @@ def thread_summary(turns: DataFrame) -> DataFrame:
     return told.select("conv_id", "messages", F.coalesce(title, F.lit("New Chat")).alias("title"))
 
 
+def new_thread(threads: DataFrame, thread_id: str, now: datetime, project: str | None = None) -> DataFrame:
+    from tessera.schema import THREAD
+
+    made = threads.sparkSession.createDataFrame([(thread_id, "New Chat", project, now, now, [])], THREAD)
+    return conform(threads, THREAD).unionByName(made)
+
+
+def delete_thread(threads: DataFrame, thread_id: str) -> DataFrame:
+    return threads.where(F.col("id") != thread_id)
+
+
+def rename_thread(threads: DataFrame, thread_id: str, title: str) -> DataFrame:
+    return threads.withColumn("title", F.when(F.col("id") == thread_id, F.lit(title)).otherwise(F.col("title")))
+
+
 def in_project(threads: DataFrame, project: str, listing: bool = True) -> DataFrame:
     """Threads of a project; outside listings those of no project too."""
     own = F.col("project_id") == project

@@ -179,6 +179,12 @@ def parse(files: DataFrame, root: str, parsers: list[Parser]) -> DataFrame:
     return files.select("rel_path", "mtime_ns", "size").mapInArrow(run, PARSED)
 
 
+def browse(path: str) -> list[str]:
+    """Folders in a folder, hidden ones left out, in order of their lower-case names."""
+    found = [e.name for e in os.scandir(path) if e.is_dir() and not e.name.startswith(".")]
+    return sorted(found, key=str.lower)
+
+
 def allowed(path: str, roots: list[str]) -> bool:
     """Whether a path, with links followed, lies in one of the roots."""
     real = os.path.realpath(path)

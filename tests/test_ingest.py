@@ -299,3 +299,38 @@ def test_stream_of_events(spark, sf_dir):
     for a, b in (("stream_dedupe", "dedupe_unchanged"), ("stream_debounce", "debounce_sessions")):
         got, want = QUERIES[a](spark, sf_dir).collect(), QUERIES[b](spark, sf_dir).collect()
         assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_project(tree, tmp_path):
+    from tessera.plans.project import Project, Settings, SettingsError
+
+    p = Project.open(str(tree))
+    assert Project.open(str(tree)).project_id == p.project_id and not p.indexed
+    assert p.set_filters(exclude_dirs=("docs",)).exclude_dirs == ("docs",)
+    assert Project.open(str(tree)).as_filters().exclude_dirs == ("docs",)
+    for bad in ({"mode": "x"}, {"what": 1}):
+        with pytest.raises(SettingsError):
+            p.set_filters(**bad)
+    s = Settings(str(tmp_path / "settings.json"))
+    assert [r["root"] for r in s.opened(p)] == [p.root] and len(s.opened(p)) == 1
+    base = {"enabled": True, "tags": ["TODO"], "size": 1, "_size": "a note", "name": "x"}
+    assert s.set_parser("python3", {"tags": [], "size": 2.5}, base) == {"enabled": True, "tags": [], "size": 2.5, "name": "x"}
+    for bad in ({"enabled": 1}, {"size": True}, {"name": 1}, {"zzz": 1}, {"_size": "x"}):
+        with pytest.raises(SettingsError):
+            s.set_parser("python3", bad, base)
+    assert Settings(str(tmp_path / "settings.json")).parser("python3", {"tags": ["A"]}) == {"tags": []}
+    assert files.browse(str(tree)) == ["build", "docs", "node_modules", "pkg", "tests", "venv1"]
+
+
+def test_command_line(spark, tree, capsys):
+    from tessera.__main__ import main
+
+    main(["--root", str(tree), "index"])
+    main(["--root", str(tree), "index", "--incremental", "--no-spatial", "--no-embeddings"])
+    capsys.readouterr()
+    for command, part in (
+        (["status"], "function"), (["query", "f", "-t", "function", "--callers"], "method::pkg/a.py::A::m"), (["search", "broken"], "["),
+        (["inspect", "func::pkg/a.py::f"], "func::pkg/b.py::g"), (["spatial", "--face", "1"], ""), (["spatial-walk", "func::pkg/a.py::f"], ""),
+    ):
+        main(["--root", str(tree), *command])
+        assert part in capsys.readouterr().out
