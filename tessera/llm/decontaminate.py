@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import FOLD, map_batches, words_of
 
-#: Words of items in one automaton. More items make more automata, through which the documents stream one by one.
-BLOCK_WORDS = 1_000_000
+#: About so many words of items are in one automaton, some 60 MB of each worker. More items make more automata, through
+#: which the documents stream one after the other.
+BLOCK_WORDS = 100_000
 
 
 class _Ids(dict):
@@ -161,19 +163,27 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return b"\n".join([*ends, raw[last:]]).decode()
 
 
-def match(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """All columns of docs that are asked for stay outside; returns doc_id, text, n_words, spans, items, longest.
-
-    Items are read in blocks of at most about ``block_words`` words, so neither the driver nor a broadcast grows with
-    the benchmark; each block's automaton is broadcast and the documents stream through it, without any shuffle.
-    Null or empty texts have no words. Items without words match nothing; item ids that repeat count once.
-    """
-    spark = docs.sparkSession
+def automata(benchmark: DataFrame, window: int, block_words: int = BLOCK_WORDS) -> Iterator[Broadcast]:
+    """Broadcast automata of blocks of items, dealt by a hash; each is collected and built when its turn comes."""
     bench = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("t")).where(
         "t is not null"
     )
     total = bench.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-total // (6 * block_words)))
+    for k in range(blocks):
+        part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == k)
+        yield benchmark.sparkSession.sparkContext.broadcast(
+            Automaton(((r["item"], words_of(r["t"])) for r in part.collect()), window)
+        )
+
+
+def match(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, text, n_words, spans, items, longest of each row.
+
+    Items are read in blocks of about ``block_words`` words, so neither the driver nor a broadcast grows with the
+    benchmark; each block's automaton is broadcast and the documents stream through it, without any shuffle.
+    Null or empty texts have no words. Items without words match nothing; item ids that repeat count once.
+    """
     out = docs.select(
         "doc_id",
         "text",
@@ -183,11 +193,7 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words:
         F.lit(0).cast("long").alias("longest"),
     )
     kind = out.schema
-    for k in range(blocks):
-        part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == k)
-        built = spark.sparkContext.broadcast(
-            Automaton(((r["item"], words_of(r["t"])) for r in part.collect()), window)
-        )
+    for built in automata(benchmark, window, block_words):
 
         def make(built=built):  # noqa: ANN001, ANN202
             auto = built.value
@@ -243,24 +249,32 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
+def clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = 10,
+    max_coverage: float = 0.5,
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
     """docs, all columns, without the spans that match items over ``window`` words (or whole shorter items); documents
     with more than ``max_coverage`` of their words in such spans go. n_chars, if there, follows the text.
 
-    Cutting is repeated within the document until nothing matches. Null and empty texts stay as they are.
+    Cutting is repeated within the document until nothing matches. Null and empty texts stay as they are. A benchmark of
+    several blocks is cut out block by block, and coverage is that by a block's items.
     """
-    spark = docs.sparkSession
-    items = [(r[0], words_of(r[1])) for r in benchmark.selectExpr("cast(item_id as string)", "text").collect()]
-    if sum(len(w) for _, w in items) > BLOCK_WORDS:
-        raise ValueError("clean() holds one automaton; pass the benchmark in parts")
-    built = spark.sparkContext.broadcast(Automaton(items, window))
+    for built in automata(benchmark, window, block_words):
+        docs = _without_items(docs, built, max_coverage)
+    return docs
+
 
+def _without_items(docs: DataFrame, built: Broadcast, max_coverage: float) -> DataFrame:
     def make():  # noqa: ANN202
         auto = built.value
 
         def of(batch: pa.RecordBatch) -> dict:
-            texts, keep = batch.column("text").to_pylist(), []
-            for k, text in enumerate(texts):
+            old = batch.column("text").to_pylist()
+            texts, keep = list(old), []
+            for k, text in enumerate(old):
                 words = words_of(text)
                 spans = auto.matches(words)[0]
                 keep.append(sum(b - a for a, b in spans) <= max_coverage * len(words))
@@ -271,13 +285,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage:
             out = {n: batch.column(n) for n in batch.schema.names}
             out["text"] = pa.array(texts, pa.string())
             if "n_chars" in out:
-                old = batch.column("text").to_pylist()
-                out["n_chars"] = pa.array(
-                    [n if a == b else len(b) for n, a, b in zip(out["n_chars"].to_pylist(), old, texts, strict=True)],
-                    batch.column("n_chars").type,
-                )
-            mask = pa.array(keep)
-            return {n: pa.array(x).filter(mask) if not isinstance(x, pa.Array) else x.filter(mask) for n, x in out.items()}
+                n_chars = zip(out["n_chars"].to_pylist(), old, texts, strict=True)
+                out["n_chars"] = pa.array([n if a == b else len(b) for n, a, b in n_chars], out["n_chars"].type)
+            mask = pa.array(keep, pa.bool_())
+            return {n: x.filter(mask) for n, x in out.items()}
 
         return of
 
