@@ -19,6 +19,8 @@ SEED = 20240229
 #: Training documents of a language, at most; chosen by a hash of doc_id. The only bounded sample here.
 SAMPLE = 2000
 UNKNOWN = "und"
+#: Trigrams whose vectors are multiplied at once, which bounds the matrices.
+PART = 2048
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -32,20 +34,19 @@ class Grams:
     """Vectors of letter trigrams: the product of the letters' vectors, rotated by 2, 1 and 0 places."""
 
     def __init__(self, most: int = 20_000) -> None:
-        self.most, self.row = most, {}
-        self.vectors = np.empty((0, DIMENSIONS), np.float32)
+        self.row: dict[int, int] = {}
+        self.vectors = np.empty((most, DIMENSIONS), np.int8)
 
     def rows(self, codes: np.ndarray) -> np.ndarray:
-        if len(self.row) + len(codes) > max(self.most, len(codes)):
-            self.row, self.vectors = {}, np.empty((0, DIMENSIONS), np.float32)
-        new = [c for c in codes.tolist() if c not in self.row]
-        if new:
-            made = [
-                np.roll(letter(c >> 42), 2) * np.roll(letter(c >> 21 & 0x1FFFFF), 1) * letter(c & 0x1FFFFF) for c in new
-            ]
-            self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
-            self.vectors = np.concatenate((self.vectors, np.array(made, np.float32)))
-        return np.fromiter(map(self.row.__getitem__, codes.tolist()), np.int64, len(codes))
+        """The codes' vectors; those made before are kept while there is room."""
+        if len(self.row) + len(codes) > len(self.vectors):
+            self.row = {}
+        for c in codes.tolist():
+            if c not in self.row:
+                a, b, last = c >> 42, c >> 21 & 0x1FFFFF, c & 0x1FFFFF
+                self.vectors[len(self.row)] = np.roll(letter(a), 2) * np.roll(letter(b), 1) * letter(last)
+                self.row[c] = len(self.row)
+        return self.vectors[np.fromiter(map(self.row.__getitem__, codes.tolist()), np.int64, len(codes))].astype(np.float32)
 
     def bundle(self, texts: list[str | None]) -> np.ndarray:
         """The sum of the trigram vectors of each text's lower-case letters, words between single blanks; zeros for a
@@ -65,16 +66,15 @@ class Grams:
         all_codes = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
         if not len(all_codes):
             return out
-        for at in range(0, len(all_codes), 8192):  # bounds the matrix for texts of very many characters
-            part = all_codes[at : at + 8192]
-            rows = self.rows(part)
+        for at in range(0, len(all_codes), PART):
+            part = all_codes[at : at + PART]
             table = np.zeros((len(texts), len(part)), np.float32)
             for k, (u, n) in enumerate(zip(found, counts, strict=True)):
                 if len(u):
                     where = np.minimum(np.searchsorted(part, u), len(part) - 1)
                     here = part[where] == u
                     table[k, where[here]] = n[here]
-            out += table @ self.vectors[rows]
+            out += table @ self.rows(part)
         return out
 
 
