@@ -89,8 +89,8 @@ def brute_bfs(start, depth, kinds, direction):
     return out
 
 
-@pytest.mark.parametrize("depth", [1, 2, 4])
-@pytest.mark.parametrize("kinds", [None, ["calls"], ["calls", "defines"]])
+@pytest.mark.parametrize("depth", [1, 3])
+@pytest.mark.parametrize("kinds", [None, ["calls", "defines"]])
 @pytest.mark.parametrize("direction", ["in", "out", "both"])
 def test_neighbors(graph, depth, kinds, direction):
     got = {r["id"]: r["depth"] for r in traverse.neighbors(graph, "a", depth, kinds, direction).collect()}
