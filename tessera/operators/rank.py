@@ -105,33 +105,41 @@ def capped(
 def pagerank(graph: Graph, alpha: float = 0.85, max_iter: int = 100, tol: float | None = 1e-6) -> DataFrame:
     """id, rank. Nodes without outgoing edges spread their rank evenly. Stops when the ranks' L1 change is under
     nodes * tol; with a tol of None it takes max_iter steps. One shuffle of the edges' ends a step, with partial sums."""
-    ids = cut(graph.nodes.select("id").distinct())
-    n = ids.count()
-    if not n:
-        return ids.withColumn("rank", F.lit(0.0))
     out = graph.edges.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("_out"))
+    ids = cut(
+        graph.nodes.select("id").distinct().join(out, "id", "left").select("id", F.col("_out").isNull().alias("_end"))
+    )
+    n, ends = ids.agg(F.count("*"), F.count_if("_end")).first()
+    if not n:
+        return ids.select("id", F.lit(0.0).alias("rank"))
     shares = cut(graph.edges.select(F.col("source").alias("id"), "target").join(out, "id"))
-    ends = ids.join(out.select("id"), "id", "left_anti")
-    ends = cut(ends)
-    rank = cut(ids.withColumn("rank", F.lit(1.0 / n)))
-    for step in range(max_iter):
-        lost = rank.join(ends, "id", "left_semi").agg(F.sum("rank")).first()[0] or 0.0
+    rank, lost = ids.withColumn("rank", F.lit(1.0 / n)), ends / n
+    for _ in range(max_iter):
         given = (
-            shares.join(rank, "id")
+            shares.join(rank.select("id", "rank"), "id")
             .groupBy(F.col("target").alias("id"))
             .agg(F.sum(F.col("rank") / F.col("_out")).alias("_in"))
         )
         base = (1 - alpha) / n + alpha * lost / n
-        new = rank.join(given, "id", "left").select(
-            "id", F.col("rank").alias("_old"), (F.coalesce("_in", F.lit(0.0)) * alpha + base).alias("rank")
+        new = cut(
+            rank.join(given, "id", "left").select(
+                "id",
+                "_end",
+                F.col("rank").alias("_old"),
+                (F.coalesce("_in", F.lit(0.0)) * alpha + base).alias("rank"),
+            )
         )
-        new = cut(new)
-        if tol is not None and (new.agg(F.sum(F.abs(F.col("rank") - F.col("_old")))).first()[0] or 0) < n * tol:
-            return new.select("id", "rank")
-        rank = new.select("id", "rank")
-        if step == max_iter - 1 and tol is not None:
-            raise ValueError(f"PageRank hasn't converged in {max_iter} steps")
-    return rank
+        # One pass tells how far the ranks moved and what nodes without edges give to all in the next step.
+        change, lost = new.agg(
+            F.sum(F.abs(F.col("rank") - F.col("_old"))),
+            F.coalesce(F.sum(F.when(F.col("_end"), F.col("rank"))), F.lit(0.0)),
+        ).first()
+        rank = new.drop("_old")
+        if tol is not None and change < n * tol:
+            return rank.select("id", "rank")
+    if tol is not None:
+        raise ValueError(f"PageRank hasn't converged in {max_iter} steps")
+    return rank.select("id", "rank")
 
 
 def min_max(df: DataFrame, column: str, out: str, scale: float = 1.0, flat: float = 0.0) -> DataFrame:
