@@ -8,16 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 8 << 20
+#: Blocks grow beyond their least size, up to 64 MB, before there are more than so many of them.
+BLOCKS, LARGEST = 500_000, 64 << 20
 
 
 def edges_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[np.ndarray, int]:
-    """The largest doc_id of each block but the last, and the bytes of all texts. There is one edge for each
-    ``block_bytes`` of text. Null doc_ids come before all others."""
+    """The largest doc_id of each block but the last, and the bytes of all texts.
+
+    There is one edge for each ``block_bytes`` of text, or for more of it where the corpus is large: 100 TB have some
+    2 million edges, 16 MB. Null doc_ids come before all others.
+    """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // block_bytes)
+    n = -(-total // max(block_bytes, min(LARGEST, total // BLOCKS)))
     if n < 2:
         return np.empty(0, np.int64), total
-    parts = F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 10 * n))
+    parts = F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 2 * n))
     return np.unique(np.array(docs.agg(parts).first()[0] or [], np.int64)), total
 
 

@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import BLOCK_BYTES, block_of, edges_of, ids_of
+from tessera.llm.blocks import block_of, edges_of, ids_of
 from tessera.llm.common import map_batches, words_of
 from tessera.llm.hashing import mix, shingles, word_hashes
 
 BITS = 256
+#: Text of a block at least. Small blocks even out the tasks that they are dealt to.
+BLOCK_BYTES = 1 << 20
 RADIUS = 7
 _SEEDS = np.array([0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B, 0x510E527FADE682D1], np.uint64)
 _SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64) * 2 - 1
@@ -71,27 +73,29 @@ def compare(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     edges, _ = edges_of(base, block_bytes)
     low = base.agg(F.min("doc_id"), F.max(F.col("doc_id").isNull())).first()
-    starts = {}  # doc_id -> the block that needs it as its last document's successor
+    # The doc_ids that a block needs as its last document's successor, in order, and that block.
+    needed = np.empty((0, 2), np.int64)
     if low[0] is not None or low[1]:
         ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
         firsts = _firsts(ids, edges) if len(edges) else {}
         blocks = sorted({*firsts, 0})
         head = -(1 << 63) if low[1] else low[0]
-        starts = {firsts[b]: blocks[k - 1] for k, b in enumerate(blocks) if k}
-        starts[head] = blocks[-1]
-    shared = spark.sparkContext.broadcast((edges, starts))
+        pairs = [(firsts[b], blocks[k - 1]) for k, b in enumerate(blocks) if k]
+        needed = np.array(sorted([*pairs, (head, blocks[-1])]), np.int64)
+    shared = spark.sparkContext.broadcast((edges, needed))
 
     def deal():  # noqa: ANN202
-        cuts, needed = shared.value
+        cuts, (wanted, by) = shared.value[0], shared.value[1].T
 
         def of(batch: pa.RecordBatch) -> dict:
             ids = ids_of(batch.column("doc_id"))
-            guest = [k for k, i in enumerate(ids.tolist()) if i in needed]
-            take = pa.array([*range(len(ids)), *guest], pa.int64())
+            at = np.minimum(np.searchsorted(wanted, ids), len(wanted) - 1)
+            guest = np.flatnonzero(wanted[at] == ids)
+            take = pa.array(np.concatenate((np.arange(len(ids)), guest)), pa.int64())
             return {
                 "doc_id": batch.column("doc_id").take(take),
                 "text": batch.column("text").take(take),
-                "block": np.concatenate((block_of(cuts, ids), np.array([needed[int(ids[k])] for k in guest], np.int64))),
+                "block": np.concatenate((block_of(cuts, ids), by[at[guest]])),
                 "guest": [False] * len(ids) + [True] * len(guest),
             }
 
