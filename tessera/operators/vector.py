@@ -40,13 +40,15 @@ def top(
 
 
 class InvertedFile:
-    """Approximate search: vectors dealt to sqrt(n) centres, the nearest ``probes`` of which are searched exactly.
+    """Approximate search: vectors dealt to sqrt(n) centres, the nearest of which are searched exactly.
 
     The centres are fitted on a sample of at most SAMPLE vectors; every vector is indexed. write() stores the vectors
     partitioned by centre, so a search reads only the probed partitions.
     """
 
     SAMPLE = 100_000
+    #: Without a number of probes a search takes this share of the centres, LEAST_PROBES at least.
+    PROBED, LEAST_PROBES = 0.6, 8
 
     def __init__(self, vectors: DataFrame, centres: int | None = None, seed: int = 42) -> None:
         from pyspark.ml.clustering import KMeans
@@ -74,12 +76,16 @@ class InvertedFile:
     def write(self, folder: str) -> None:
         self.rows.write.mode("overwrite").partitionBy("centre").parquet(folder)
 
-    def search(self, query: list[float], k: int = 10, probes: int = 8, rows: DataFrame | None = None) -> DataFrame:
-        """The k best rows of the probed centres. rows: those written, read again."""
+    def near(self, query: list[float], probes: int | None = None) -> list[int]:
+        """The nearest centres, ``probes`` of them or as many as PROBED says."""
         norm = math.sqrt(sum(x * x for x in query)) or 1.0
         scored = sorted((sum((a / norm - b) ** 2 for a, b in zip(query, c, strict=True)), i) for i, c in enumerate(self.centres))
-        near = [i for _, i in scored[:probes]]
-        return top((self.rows if rows is None else rows).where(F.col("centre").isin(near)), query, k)
+        most = probes or max(self.LEAST_PROBES, math.ceil(self.PROBED * len(self.centres)))
+        return [i for _, i in scored[:most]]
+
+    def search(self, query: list[float], k: int = 10, probes: int | None = None, rows: DataFrame | None = None) -> DataFrame:
+        """The k best rows of the probed centres. rows: those written, read again."""
+        return top((self.rows if rows is None else rows).where(F.col("centre").isin(self.near(query, probes))), query, k)
 
 
 def merge_searches(searches: dict[str, DataFrame]) -> DataFrame:
