@@ -470,6 +470,16 @@ def section_spans(spark, sf_dir):
     return text.spans(_headings(spark, sf_dir), totals)
 
 
+@register()
+def section_spans_whole(spark, sf_dir):
+    """All documents, those without a language too, whose path section_spans doesn't have."""
+    path = F.concat(F.lit("docs/"), F.coalesce("lang", F.lit("none")), F.lit("/"), F.col("doc_id"), F.lit(".txt"))
+    docs = T.table(spark, sf_dir, "documents").select(path.alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    rows = text.lines(docs)
+    heads = rows.select("path", F.col("n").alias("line_start"), (F.length("text") % 6 + 1).alias("level"), F.substring("text", 1, 20).alias("name"))
+    return text.spans(heads, rows.groupBy("path").agg(F.count("*").alias("lines")))
+
+
 @register("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events", graph=False)
 def json_keys(spark, sf_dir):
     return T.table(spark, sf_dir, "events").select("event_id", F.expr("variant_get(parse_json(props), '$.k', 'bigint')").alias("k"))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from tessera.operators import vector
+from tessera.queries import QUERIES
 from tessera.sources import tables as T
 
 
@@ -23,3 +24,18 @@ def test_recall_of_ann_topk(spark, sf_dir, sf):
         best = np.argsort(-unit @ unit[i], kind="stable")[:10]
         found.append(np.isin(centre[best], index.near(list(rows[i]["embedding"]))).mean())
     assert np.mean(found) >= 0.9
+
+
+def test_sections_of_all_documents(spark, tmp_path):
+    docs = [(1, "one\nthree\nfour five\nx\nseven", "en"), (2, "a\nbb\n\nccc", "es"), (3, "dddd\nee", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for i, text, lang in docs:
+        rows = text.split("\n")
+        levels = [len(x) % 6 + 1 for x in rows]
+        for n, row in enumerate(rows):
+            up = [rows[k] for k in range(n) if levels[k] < levels[n]]
+            end = n + 1 if n + 1 < len(rows) else len(rows)
+            want.add((f"docs/{lang or 'none'}/{i}.txt", n + 1, levels[n], row[:20], end, up[-1] if up else None))
+    got = QUERIES["section_spans_whole"](spark, str(tmp_path))
+    assert {tuple(r) for r in got.select("path", "line_start", "level", "name", "line_end", "parent_section").collect()} == want
