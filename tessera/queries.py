@@ -304,6 +304,18 @@ def pagerank_k5(spark, sf_dir):
     return rank.pagerank(g, max_iter=5, tol=None).select("id", F.round(F.col("rank") * n, 4).alias("rank"))
 
 
+@register(f", {_pagerank_sql(10)} SELECT id, round(rank * n, 4) AS rank FROM r10, size")
+def pagerank_k10(spark, sf_dir):
+    g = T.star_graph(spark, sf_dir)
+    n = g.nodes.count()
+    return rank.pagerank(g, max_iter=10, tol=None).select("id", F.round(F.col("rank") * n, 4).alias("rank"))
+
+
+@register()
+def importance_z(spark, sf_dir):
+    return rank.importance(T.star_graph(spark, sf_dir))
+
+
 @register("""SELECT id, CASE WHEN contains(lower(path), 'test_') OR contains(lower(path), '_test') OR contains(lower(path), '/tests/')
     OR starts_with(lower(path), 'tests/') THEN 6
   WHEN regexp_matches(lower(path), 'config|settings|env') THEN 5 WHEN type = 'variable' THEN 5
@@ -325,9 +337,12 @@ def projection_x(spark, sf_dir):
 
 @register()
 def coordinates(spark, sf_dir):
+    """The whole graph; a part has the embedding whose vec_id is its key, other nodes have none."""
     g = T.star_graph(spark, sf_dir)
-    small = Graph(g.nodes, g.edges.where("type <> 'imports'"))
-    return rank.coordinates(small, g.nodes.select("id", F.lit(None).cast("array<float>").alias("embedding")), max_iter=3, tol=None)
+    key = F.regexp_extract("id", "^class::.*::([0-9]+)$", 1)
+    parts = g.nodes.select(F.col("id").alias("node"), F.when(key != "", key).cast("long").alias("id"))
+    vectors = T.star_vectors(spark, sf_dir).join(parts, "id").select(F.col("node").alias("id"), "embedding")
+    return rank.coordinates(g, vectors)
 
 
 # Coordinates

@@ -39,3 +39,10 @@ def test_sections_of_all_documents(spark, tmp_path):
             want.add((f"docs/{lang or 'none'}/{i}.txt", n + 1, levels[n], row[:20], end, up[-1] if up else None))
     got = QUERIES["section_spans_whole"](spark, str(tmp_path))
     assert {tuple(r) for r in got.select("path", "line_start", "level", "name", "line_end", "parent_section").collect()} == want
+
+
+def test_coordinates_of_the_whole_graph(spark, sf_dir):
+    got = {r["id"]: r["spatial"] for r in QUERIES["coordinates"](spark, sf_dir).collect()}
+    assert len({r["x"] for r in got.values()}) > 10
+    z = {r["id"]: r["z"] for r in QUERIES["importance_z"](spark, sf_dir).collect()}
+    assert set(z) == set(got) and all(abs(got[i]["z"] - z[i]) < 1e-9 for i in z)
