@@ -81,6 +81,10 @@ def map_batches(
     return df.mapInArrow(run, kind)
 
 
+#: Rows of a few numbers up to which a table is broadcast.
+MOST_SENT = 500_000
+
+
 def numbered(df: DataFrame, group: str, order: list[str | Column], out: str) -> tuple[DataFrame, list]:
     """Numbers the rows of each group from 0, without gaps, in the given order, with no task that holds a whole group.
 
@@ -108,7 +112,8 @@ def numbered(df: DataFrame, group: str, order: list[str | Column], out: str) ->
         [T.StructField(group, df.schema[group].dataType)]
         + [T.StructField(n, T.LongType()) for n in ("_pid", "_first", "_before")]
     )
-    small = F.broadcast(spark.createDataFrame(rows, kind))
+    small = spark.createDataFrame(rows, kind)
+    small = F.broadcast(small) if len(rows) <= MOST_SENT else small
     told = (
         flat.withColumn("_pid", pid)
         .join(small, [group, "_pid"])
@@ -131,6 +136,6 @@ def hot_join(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total: in
     return rows.join(hot, key).unionByName(rest.join(cold, key))
 
 
-def thin(df: DataFrame, ids: DataFrame, on: str, how: str, most: int = 500_000) -> DataFrame:
+def thin(df: DataFrame, ids: DataFrame, on: str, how: str, most: int = MOST_SENT) -> DataFrame:
     """df joined to the distinct ids by a semi or anti join: by broadcast up to ``most`` ids, else by a shuffle."""
     return df.join(F.broadcast(ids) if ids.count() <= most else ids.hint("merge"), on, how)

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import FOLD, map_batches, words_of
+from tessera.llm.common import FOLD, cut, hot_join, map_batches, thin, union, words_of
 
-#: About so many words of items are in one automaton, some 60 MB of each worker. More items make more automata, through
-#: which the documents stream one after the other.
+#: About so many words of items are in one automaton, some 60 MB of each worker. More items make more automata, which are
+#: held one at a time.
 BLOCK_WORDS = 100_000
 
 
@@ -150,7 +151,7 @@ class Automaton:
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
     """text with the words in the spans taken out, with what stands between them; a line break is left instead."""
-    raw = text.encode()
+    raw = text.encode("utf-8", "replace")
     folded, ends, at = raw.translate(FOLD), [], 0
     bounds = []
     for w in folded.split():
@@ -163,66 +164,120 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return b"\n".join([*ends, raw[last:]]).decode()
 
 
-def automata(benchmark: DataFrame, window: int, block_words: int = BLOCK_WORDS) -> Iterator[Broadcast]:
-    """Broadcast automata of blocks of items, dealt by a hash; each is collected and built when its turn comes."""
+def blocks_of(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> int:
+    total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(1, -(-total // (6 * block_words)))
+
+
+def automaton(benchmark: DataFrame, window: int, block: int, blocks: int) -> Broadcast:
+    """The broadcast automaton of one block of items, dealt by a hash."""
     bench = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("t")).where(
         "t is not null"
     )
-    total = bench.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, -(-total // (6 * block_words)))
+    part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == block)
+    return benchmark.sparkSession.sparkContext.broadcast(
+        Automaton(((r["item"], words_of(r["t"])) for r in part.collect()), window)
+    )
+
+
+_FOUND = "n_words long, spans array<struct<lo:long,hi:long>>, items array<string>, longest long"
+
+
+def _searched(texts: DataFrame, keys: list[str], built: Broadcast) -> DataFrame:
+    """keys, n_words, spans, items, longest of each row's text, by one automaton."""
+    kind = T.StructType([*[texts.schema[k] for k in keys], *T._parse_datatype_string(_FOUND)])
+
+    def make():  # noqa: ANN202
+        auto = built.value
+
+        def of(batch: pa.RecordBatch) -> dict:
+            n, spans, items, longest = [], [], [], []
+            for text in batch.column("text").to_pylist():
+                words = words_of(text)
+                s, i, most = auto.matches(words)
+                n.append(len(words))
+                spans.append([{"lo": a, "hi": b} for a, b in s])
+                items.append(sorted(i))
+                longest.append(most)
+            found = {"n_words": n, "spans": spans, "items": items, "longest": longest}
+            return found | {k: batch.column(k) for k in keys}
+
+        return of
+
+    return map_batches(texts.select(*keys, "text"), kind, make)
+
+
+def _text_key() -> Column:
+    return F.unhex(F.sha2(F.col("text").cast("binary"), 256))
+
+
+def _hits(texts: DataFrame, benchmark: DataFrame, window: int, blocks: int) -> DataFrame:
+    """key, spans, items, longest of the texts (key, text) in which any block's items stand; each key once. One block's
+    automaton is held at a time."""
+    parts = []
     for k in range(blocks):
-        part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == k)
-        yield benchmark.sparkSession.sparkContext.broadcast(
-            Automaton(((r["item"], words_of(r["t"])) for r in part.collect()), window)
-        )
+        built = automaton(benchmark, window, k, blocks)
+        parts.append(cut(_searched(texts, ["key"], built).where("longest > 0").dropDuplicates(["key"]).drop("n_words")))
+        built.destroy()
+    told = union(parts).groupBy("key").agg(
+        F.flatten(F.collect_list("spans")).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.max("longest").alias("longest"),
+    )
+
+    def make():  # noqa: ANN202
+        def of(batch: pa.RecordBatch) -> dict:
+            spans = [merged([(x["lo"], x["hi"]) for x in s]) for s in batch.column("spans").to_pylist()]
+            return {n: batch.column(n) for n in ("key", "items", "longest")} | {
+                "spans": [[{"lo": a, "hi": b} for a, b in s] for s in spans]
+            }
+
+        return of
+
+    return map_batches(told, told.schema, make)
 
 
 def match(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, text, n_words, spans, items, longest of each row.
+    """doc_id, n_words, spans, items, longest of each row.
 
     Items are read in blocks of about ``block_words`` words, so neither the driver nor a broadcast grows with the
-    benchmark; each block's automaton is broadcast and the documents stream through it, without any shuffle.
-    Null or empty texts have no words. Items without words match nothing; item ids that repeat count once.
+    benchmark. With one block the documents stream through its automaton, without any shuffle; with several they do so
+    for each block, and what the blocks find in a text is joined to its rows. The result is the same.
+    Null or empty texts have no words, very long ones are searched whole. Items without words match nothing; item ids
+    that repeat count once.
     """
-    out = docs.select(
+    blocks = blocks_of(benchmark, block_words)
+    base = docs.select("doc_id", "text")
+    if blocks == 1:
+        return _searched(base, ["doc_id"], automaton(benchmark, window, 0, 1))
+    keyed = base.withColumn("key", _text_key())
+    found = cut(_hits(keyed.where("text is not null").select("key", "text"), benchmark, window, blocks))
+
+    def make():  # noqa: ANN202
+        return lambda b: {
+            "doc_id": b.column("doc_id"),
+            "key": b.column("key"),
+            "n_words": [len(words_of(t)) for t in b.column("text").to_pylist()],
+        }
+
+    kind = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("key binary, n_words long")])
+    counted = cut(map_batches(keyed, kind, make))
+    hit = _to_rows(thin(counted, found.select("key"), "key", "left_semi"), found)
+    rest = thin(counted, found.select("key"), "key", "left_anti").select(
         "doc_id",
-        "text",
-        F.lit(0).cast("long").alias("n_words"),
+        "n_words",
         F.expr("cast(array() as array<struct<lo:long,hi:long>>)").alias("spans"),
         F.expr("cast(array() as array<string>)").alias("items"),
         F.lit(0).cast("long").alias("longest"),
     )
-    kind = out.schema
-    for built in automata(benchmark, window, block_words):
-
-        def make(built=built):  # noqa: ANN001, ANN202
-            auto = built.value
-
-            def of(batch: pa.RecordBatch) -> dict:
-                n, spans, items, longest = [], [], [], []
-                old = [batch.column(c).to_pylist() for c in ("spans", "items", "longest")]
-                for text, s0, i0, l0 in zip(batch.column("text").to_pylist(), *old, strict=True):
-                    words = words_of(text)
-                    s, i, l1 = auto.matches(words)
-                    n.append(len(words))
-                    if s0:
-                        s = merged([*s, *((x["lo"], x["hi"]) for x in s0)])
-                    spans.append([{"lo": a, "hi": b} for a, b in s])
-                    items.append(sorted(i.union(i0)))
-                    longest.append(max(l0, l1))
-                return {
-                    "doc_id": batch.column("doc_id"),
-                    "text": batch.column("text"),
-                    "n_words": n,
-                    "spans": spans,
-                    "items": items,
-                    "longest": longest,
-                }
-
-            return of
-
-        out = map_batches(out, kind, make)
-    return out
+    return hit.select(rest.columns).unionByName(rest)
+
+
+def _to_rows(rows: DataFrame, keyed: DataFrame) -> DataFrame:
+    """rows joined to keyed by key, of which a text's many copies may have the same."""
+    rows = cut(rows)
+    weights = rows.groupBy("key").agg(F.count("*").alias("_n"))
+    return hot_join(rows, cut(keyed.join(weights, "key")), "key", "_n", rows.count())
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -257,14 +312,53 @@ def clean(
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """docs, all columns, without the spans that match items over ``window`` words (or whole shorter items); documents
-    with more than ``max_coverage`` of their words in such spans go. n_chars, if there, follows the text.
+    with more than ``max_coverage`` of their words in such spans go. n_chars, if there and a whole number, follows the
+    text.
 
-    Cutting is repeated within the document until nothing matches. Null and empty texts stay as they are. A benchmark of
-    several blocks is cut out block by block, and coverage is that by a block's items.
+    Coverage is that of the whole text by all items. Cutting is repeated until no item matches, whatever the number of
+    blocks that the items are read in. Null and empty texts stay as they are; copies of a text are treated alike.
     """
-    for built in automata(benchmark, window, block_words):
-        docs = _without_items(docs, built, max_coverage)
-    return docs
+    blocks = blocks_of(benchmark, block_words)
+    if blocks == 1:
+        return _without_items(docs, automaton(benchmark, window, 0, 1), max_coverage)
+    names = docs.columns
+    keyed = docs.withColumn("__key", _text_key())
+    texts = keyed.where("text is not null").select(F.col("__key").alias("key"), "text")
+    found = cut(_hits(texts, benchmark, window, blocks).where(F.size("spans") > 0).select("key", "spans"))
+    ids = found.select(F.col("key").alias("__key"))
+    own = cut(thin(texts, found.select("key"), "key", "left_semi").dropDuplicates(["key"]))
+    made = cut(_cut_once(own.join(found, "key"), max_coverage))
+    done, now = [made.where("text is null")], made.where("text is not null")
+    while not now.isEmpty():
+        left = now.select(F.col("key").alias("first"), "text").withColumn("key", _text_key())
+        again = cut(_hits(left.select("key", "text"), benchmark, window, blocks).where(F.size("spans") > 0).select("key", "spans"))
+        done.append(left.join(again, "key", "left_anti").select(F.col("first").alias("key"), "text"))
+        more = left.join(again, "key").select(F.col("first").alias("key"), "text", "spans")
+        now = cut(_cut_once(more, 1.0))
+    told = cut(union([d.select("key", F.col("text").alias("__text")) for d in done]))
+    rows = thin(keyed, ids, "__key", "left_semi").withColumnRenamed("__key", "key")
+    changed = _to_rows(rows, told).where("__text is not null").withColumn("text", F.col("__text"))
+    if "n_chars" in names and isinstance(docs.schema["n_chars"].dataType, T.IntegralType):
+        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    kept = thin(keyed, ids, "__key", "left_anti").select(names)
+    return kept.unionByName(changed.select(names))
+
+
+def _cut_once(rows: DataFrame, max_coverage: float) -> DataFrame:
+    """key, text without its spans; null for those with more than max_coverage of their words in spans."""
+
+    def make():  # noqa: ANN202
+        def of(batch: pa.RecordBatch) -> dict:
+            out = []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                pairs = [(s["lo"], s["hi"]) for s in spans]
+                share = max_coverage * len(words_of(text))
+                out.append(None if sum(b - a for a, b in pairs) > share else without(text, pairs))
+            return {"key": batch.column("key"), "text": out}
+
+        return of
+
+    return map_batches(rows.select("key", "text", "spans"), "key binary, text string", make)
 
 
 def _without_items(docs: DataFrame, built: Broadcast, max_coverage: float) -> DataFrame:
@@ -284,7 +378,7 @@ def _without_items(docs: DataFrame, built: Broadcast, max_coverage: float) -> Da
                 texts[k] = text
             out = {n: batch.column(n) for n in batch.schema.names}
             out["text"] = pa.array(texts, pa.string())
-            if "n_chars" in out:
+            if "n_chars" in out and pa.types.is_integer(out["n_chars"].type):
                 n_chars = zip(out["n_chars"].to_pylist(), old, texts, strict=True)
                 out["n_chars"] = pa.array([n if a == b else len(b) for n, a, b in n_chars], out["n_chars"].type)
             mask = pa.array(keep, pa.bool_())

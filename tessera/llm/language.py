@@ -8,20 +8,32 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import lean, map_batches
+from tessera.llm.common import cut, hot_join, lean, map_batches
 
 DIMENSIONS = 1024
 SEED = 20240229
 #: Training documents of a language, at most; chosen by a hash of doc_id. The only bounded sample here.
 SAMPLE = 2000
 UNKNOWN = "und"
+#: Share of what texts of the learned languages score, under which a text is in none of them.
+FLOOR = 0.5
 #: Trigrams whose vectors are multiplied at once, which bounds the matrices.
 PART = 2048
-_LETTERS = re.compile(r"[^\W\d_]+")
+# Python's word characters but digits; some of them, such as superscripts and fractions, aren't letters.
+_WORDS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
+
+
+def letters(text: str | None) -> str:
+    """The runs of letters of a text in lower case, with single blanks between."""
+    words = _WORDS.findall(text or "")
+    flat = "".join(words)
+    return " ".join(words if not flat or flat.isalpha() else _LETTERS.findall(" ".join(words))).lower()
 
 
 @functools.lru_cache(100_000)
@@ -53,7 +65,7 @@ class Grams:
         text without letters."""
         found, counts = [], []
         for text in texts:
-            flat = " ".join(_LETTERS.findall(text or "")).lower()
+            flat = letters(text)
             if not flat:
                 found.append(np.empty(0, np.int64))
                 counts.append(np.empty(0, np.int64))
@@ -87,22 +99,25 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """A prototype for each language: the normalised sum of normalised document vectors, from at most about ``sample``
-    documents of it, none of them held out. Rows with null lang or text teach nothing."""
-    lean(docs.sparkSession)
-    known = docs.select(F.col("doc_id"), "text", "lang").where(
+def _sample(docs: DataFrame, sample: int) -> DataFrame:
+    """lang, text of at most about ``sample`` documents of each language, none of them held out, chosen by a hash."""
+    known = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False))
     )
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(10_001).collect()}
-    if len(counts) > 10_000:
-        raise ValueError("more than 10,000 values of lang: not a language column")
-    if not counts:
-        return {}
-    share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, sample / n)))])
+    counts = cut(known.groupBy("lang").agg(F.count("*").alias("_n")))
+    rows = counts.agg(F.sum("_n"), F.sum(F.least("_n", F.lit(sample)))).first()
+    shares = counts.withColumn("_share", F.least(F.lit(1.0), sample / F.col("_n")))
     part = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 40)) / float(1 << 40)
-    chosen = known.where(part < share[F.col("lang")]).select("lang", "text")
-    parts = max(1, min(64, sum(min(n, sample) for n in counts.values()) // 1000))
+    chosen = hot_join(known.withColumn("_part", part), shares, "lang", "_n", rows[0] or 0).where("_part < _share")
+    # Dealt evenly, not by a key, so copies of one text don't meet in a task.
+    return chosen.select("lang", "text").repartition(max(1, min(64, (rows[1] or 0) // 1000)))
+
+
+def train(docs: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
+    """A prototype for each language: the normalised sum of normalised document vectors, from at most about ``sample``
+    documents of it, none of them held out. Rows with null lang or text teach nothing. The driver holds 8 kB for each
+    value of lang."""
+    lean(docs.sparkSession)
 
     def sums(batches):  # noqa: ANN001, ANN202
         total: dict[str, np.ndarray] = {}
@@ -121,55 +136,100 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
         )
 
     out: dict[str, np.ndarray] = {}
-    dealt = chosen.repartition(parts, F.xxhash64("text"))
-    for r in sorted(dealt.mapInArrow(sums, "lang string, v array<double>").collect(), key=lambda r: (r["lang"], r["v"])):
+    for r in sorted(_sample(docs, sample).mapInArrow(sums, "lang string, v array<double>").collect(), key=lambda r: (r["lang"], r["v"])):
         out[r["lang"]] = out.get(r["lang"], 0) + np.array(r["v"])
     return {k: v / np.linalg.norm(v) for k, v in sorted(out.items()) if np.linalg.norm(v) > 0}
 
 
-def classify(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: bool = False) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of each row; with ``keep``, all columns of docs, with __held_out, __lang_pred
-    and __score besides.
+def _scorer(prototypes: dict[str, np.ndarray]):  # noqa: ANN202
+    """texts -> languages, cosines with the nearest prototype, and letters of each text."""
+    langs = [*prototypes]
+    protos = np.array([prototypes[n] for n in langs], np.float32).reshape(len(langs), DIMENSIONS)
+
+    def score(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        v = _grams().bundle(texts)
+        norm = np.linalg.norm(v, axis=1)
+        size = np.array([len(letters(t)) for t in texts], np.int64)
+        if not langs:
+            return [UNKNOWN] * len(v), np.zeros(len(v)), size
+        cos = v @ protos.T / np.where(norm > 0, norm, 1)[:, None]
+        best = cos.argmax(axis=1)
+        sure = np.where(norm > 0, np.clip(cos[np.arange(len(v)), best], 0, 1), 0.0).astype(float)
+        return [UNKNOWN if n == 0 else langs[b] for b, n in zip(best, norm, strict=True)], sure, size
+
+    return score
+
+
+def classify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of each row.
 
     score is the cosine with the nearest prototype, 0 at least. Null texts, texts without a letter, and all texts if
-    nothing was learned are ``und`` with score 0. Ties go to the first language in alphabetical order. lang, source and
-    doc_id take no part in the prediction.
+    nothing was learned are ``und`` with score 0. Very long texts are read whole. Ties go to the first language in
+    alphabetical order. lang, source and doc_id take no part in the prediction; other columns are ignored.
     """
-    names = [*prototypes]
-    matrix = np.array([prototypes[n] for n in names], np.float32).reshape(len(names), DIMENSIONS)
-    shared = docs.sparkSession.sparkContext.broadcast((names, matrix))
-    mark = "__" if keep else ""
-    held, pred, sure = f"{mark}held_out", f"{mark}lang_pred", f"{mark}score"
-    sent = (docs if keep else docs.select("doc_id", "text")).withColumn(
-        held, F.coalesce(held_out(F.col("doc_id")), F.lit(False))
+    shared = docs.sparkSession.sparkContext.broadcast(prototypes)
+    sent = docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "text")
+    kind = T.StructType(
+        [sent.schema["doc_id"], sent.schema["held_out"], *T._parse_datatype_string("lang_pred string, score double")]
     )
-    kept = [f for f in sent.schema if keep or f.name != "text"]
-    out_names = [f.name for f in kept]
-    kind = T.StructType([*kept, T.StructField(pred, T.StringType()), T.StructField(sure, T.DoubleType())])
 
     def make():  # noqa: ANN202
-        langs, protos = shared.value
+        score = _scorer(shared.value)
 
         def of(batch: pa.RecordBatch) -> dict:
-            v = _grams().bundle(batch.column("text").to_pylist())
-            norm = np.linalg.norm(v, axis=1)
-            out = {n: batch.column(n) for n in out_names}
-            if not langs:
-                return out | {pred: [UNKNOWN] * len(v), sure: [0.0] * len(v)}
-            cos = v @ protos.T / np.where(norm > 0, norm, 1)[:, None]
-            best = cos.argmax(axis=1)
-            score = np.clip(cos[np.arange(len(v)), best], 0, 1).astype(float)
-            empty = norm == 0
-            return out | {
-                pred: [UNKNOWN if e else langs[b] for b, e in zip(best, empty, strict=True)],
-                sure: np.where(empty, 0.0, score).tolist(),
-            }
+            lang, sure, _ = score(batch.column("text").to_pylist())
+            return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": lang, "score": sure.tolist()}
 
         return of
 
     return map_batches(sent, kind, make)
 
 
+def floors(docs: DataFrame, prototypes: dict[str, np.ndarray], sample: int = SAMPLE) -> np.ndarray:
+    """The least score of a text of a learned language, by the number of its letters' binary digits: FLOOR of the score
+    that all but a thousandth of the sampled texts of that length reach. Classes with under 50 texts take the floor of
+    the next shorter class that has them; shorter texts than those have none. Documents are full of names and numbers, so
+    the floor lies well under what clean ones reach."""
+    shared = docs.sparkSession.sparkContext.broadcast(prototypes)
+
+    def scored(batches):  # noqa: ANN001, ANN202
+        score = _scorer(shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                _, sure, size = score(batch.column("text").slice(at, 256).to_pylist())
+                yield pa.RecordBatch.from_pydict({"k": _size_class(size), "score": sure})
+
+    told = _sample(docs, sample).select("text").mapInArrow(scored, "k long, score double").where("k > 0")
+    rows = told.groupBy("k").agg(F.percentile_approx("score", 0.001, 10_000).alias("s"), F.count("*").alias("n")).collect()
+    out = np.zeros(64)
+    for r in rows:
+        if r["n"] >= 50:
+            out[r["k"]] = FLOOR * r["s"]
+    return np.maximum.accumulate(out)
+
+
+def _size_class(letters_: np.ndarray) -> np.ndarray:
+    return np.ceil(np.log2(np.maximum(letters_, 0) + 1)).astype(np.int64)
+
+
+def known(docs: DataFrame, prototypes: dict[str, np.ndarray], floor: np.ndarray) -> DataFrame:
+    """docs, all columns, without the rows whose text has no letter or scores under the floor of its length."""
+    shared = docs.sparkSession.sparkContext.broadcast((prototypes, floor))
+
+    def make():  # noqa: ANN202
+        score = _scorer(shared.value[0])
+
+        def of(batch: pa.RecordBatch) -> dict:
+            lang, sure, size = score(batch.column("text").to_pylist())
+            good = (np.array(lang, object) != UNKNOWN) & (sure >= shared.value[1][_size_class(size)])
+            keep = pa.array(good.astype(bool))
+            return {n: batch.column(n).filter(keep) for n in batch.schema.names}
+
+        return of
+
+    return map_batches(docs, docs.schema, make)
+
+
 def accuracy(pred: DataFrame, docs: DataFrame) -> pd.DataFrame:
     """Held-out accuracy by language."""
     joined = pred.where("held_out").join(docs.select("doc_id", "lang").where("lang is not null"), "doc_id")

@@ -9,30 +9,26 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, hot_join, numbered
 
-#: Sizes keep so many leading bits, so there are at most 2**10 * 54 distinct classes whatever the data.
-MANTISSA_BITS = 11
 
+def schedule(runs: list[tuple[int, int]], shards: int) -> dict[int, list[int]]:
+    """LPT over runs of equal items. runs: (size, items). Returns size -> items for each shard.
 
-def schedule(runs: list[tuple[int, int, int]], shards: int) -> dict[int, list[int]]:
-    """LPT over runs of equal items. runs: (class, items, total size). Returns class -> items for each shard.
-
-    Runs are taken by falling mean size; each item goes to the least-loaded shard, ties to the lowest number. A long run
-    is first laid up to a common level in one step, which places the same items as one step each would.
+    Runs are taken by falling size; each item goes to the least-loaded shard, ties to the lowest number. A long run is
+    first laid up to a common level in one step, which places the same items as one step each would.
     """
-    heap = [(0.0, k) for k in range(shards)]
+    heap = [(0, k) for k in range(shards)]
     out = {}
-    for name, items, total in sorted(runs, key=lambda r: (-r[2] / r[1], r[0])):
-        size, counts = total / items, [0] * shards
+    for size, items in sorted(runs, reverse=True):
+        counts = [0] * shards
         if items > 4 * shards and size > 0:
-            low, high = heap[0][0], heap[0][0] + size * (items + 1)
+            loads = [load for load, _ in sorted(heap, key=lambda x: x[1])]
+            low, high = min(loads), min(loads) + size * (items + 1)
 
-            def under(level: float, size: float = size) -> list[int]:
-                return [max(0, int((level - load) // size)) for load, _ in sorted(heap, key=lambda x: x[1])]
+            def under(level: int, size: int = size, loads: list[int] = loads) -> list[int]:
+                return [max(0, (level - load) // size) for load in loads]
 
-            for _ in range(200):
-                mid = (low + high) / 2
-                if mid in (low, high):
-                    break
+            while high - low > 1:
+                mid = (low + high) // 2
                 low, high = (mid, high) if sum(under(mid)) <= items else (low, mid)
             counts = under(low)
             heap = [(load + counts[k] * size, k) for load, k in heap]
@@ -41,7 +37,7 @@ def schedule(runs: list[tuple[int, int, int]], shards: int) -> dict[int, list[in
             load, k = heap[0]
             counts[k] += 1
             heapq.heapreplace(heap, (load + size, k))
-        out[name] = counts
+        out[size] = counts
     return out
 
 
@@ -49,9 +45,11 @@ def shard(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard. Rows with equal texts stay together; shards have nearly
     equal bytes (law ``bytes``), as far as the largest group allows.
 
-    Sizes under 2**11 are scheduled exactly, larger ones by their leading 11 bits, so what reaches the driver is one row
-    for each size class and partition, never one for each group. Null and empty texts are one group, of size overhead
-    each. Rows that repeat are each given a slot. An empty table gives an empty result. Other columns are ignored.
+    Groups of the same size are one run, whose items are dealt by their rank, so what reaches the driver is one row for
+    each distinct size and partition, never one for each group: d distinct sizes take d * d / 2 bytes of text at least.
+    Null and empty texts are one group, of size overhead each. Very long texts count whole. Of equal sizes, groups go by
+    the hash of their text. Rows that repeat are each given a slot. An empty table gives an empty result. Other columns
+    are ignored.
     """
     text = F.coalesce("text", F.lit(""))
     keys = cut(
@@ -63,27 +61,21 @@ def shard(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
         )
     )
     groups = keys.groupBy("_key").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_rows"))
-    drop = F.greatest(F.length(F.bin("_bytes")) - MANTISSA_BITS, F.lit(0))
-    groups = groups.withColumn("_drop", drop).withColumn(
-        "_class", F.expr("shiftleft(shiftright(_bytes, _drop), _drop)")
-    )
-    ranked, _ = numbered(groups.drop("_drop"), "_class", ["_key"], "_rank")
-    runs = ranked.groupBy("_class").agg(F.count("*"), F.sum("_bytes"), F.sum("_rows")).collect()
-    rows = sum(r[3] for r in runs)
+    ranked, runs = numbered(groups, "_bytes", ["_key"], "_rank")
     plan = []
-    for name, counts in schedule([tuple(r[:3]) for r in runs], shards).items():
+    for size, counts in schedule(runs, shards).items():
         ends, at = [], 0
         for n in counts:
             at += n
             ends.append(at)
-        plan.append((name, ends))
+        plan.append((size, ends, at))
     spark = docs.sparkSession
-    ends = F.broadcast(spark.createDataFrame(plan, "_class long, _ends array<long>"))
-    placed = ranked.join(ends, "_class").select(
+    ends = cut(spark.createDataFrame(plan, "_bytes long, _ends array<long>, _n long"))
+    placed = hot_join(ranked, ends, "_bytes", "_n", sum(n for _, n in runs)).select(
         "_key", "_rows", F.expr("size(filter(_ends, e -> e <= _rank))").cast("int").alias("shard")
     )
     told, _ = numbered(
-        hot_join(keys, placed, "_key", "_rows", rows).drop("_key"), "shard", ["doc_id", "text_crc32"], "slot"
+        hot_join(keys, placed, "_key", "_rows", keys.count()).drop("_key"), "shard", ["doc_id", "text_crc32"], "slot"
     )
     return told.select(
         "doc_id",

@@ -18,6 +18,8 @@ BITS = 256
 #: Text of a block at least. Small blocks even out the tasks that they are dealt to.
 BLOCK_BYTES = 1 << 20
 RADIUS = 7
+#: Terms whose bits are held at once, which bounds the memory of a long text.
+PART = 1 << 14
 _SEEDS = np.array([0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B, 0x510E527FADE682D1], np.uint64)
 _SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64) * 2 - 1
 _PLACE = (np.arange(BITS // 8) * 256).astype(np.int64)
@@ -29,9 +31,11 @@ def fingerprint(text: str | None) -> str:
     terms = shingles(word_hashes(b" ".join(words_of(text))))
     if not len(terms):
         return "0" * (BITS // 4)
-    bits = mix(terms[:, None] ^ _SEEDS).view(np.uint8).reshape(len(terms), BITS // 8)
-    counts = np.bincount((bits + _PLACE).ravel(), minlength=BITS // 8 * 256).reshape(BITS // 8, 256)
-    return np.packbits(counts @ _SIGNS > 0).tobytes().hex()
+    counts = np.zeros(BITS // 8 * 256, np.int64)
+    for at in range(0, len(terms), PART):
+        bits = mix(terms[at : at + PART, None] ^ _SEEDS).view(np.uint8).reshape(-1, BITS // 8)
+        counts += np.bincount((bits + _PLACE).ravel(), minlength=len(counts))
+    return np.packbits(counts.reshape(BITS // 8, 256) @ _SIGNS > 0).tobytes().hex()
 
 
 def likeness(a: str, b: str) -> float:
