@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, html, language, licenses, neardup, packing, pseudonyms, sharding, simhash, substrings
 from tessera.llm.common import table
@@ -33,7 +34,8 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("spans", F.to_json("spans"))
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
