@@ -70,10 +70,10 @@ def capped(
     largest sum of degrees. Ties go to the smaller id."""
     nodes = under(graph.nodes, path) if path else graph.nodes
     nodes = nodes.where(F.col("type").isin(list(types))) if types else nodes
-    ranked = nodes.select("id", "type", "name", "path").join(degree(graph), "id")
+    graph = Graph(graph.nodes, cut(graph.edges.select("source", "target", "type")))
+    ranked = cut(nodes.select("id", "type", "name", "path").join(degree(graph), "id"))
     total = ranked.count()
-    kept = ranked.orderBy(F.desc("degree"), "id").limit(limit) if limit and total > limit else ranked
-    kept = cut(kept)
+    kept = cut(ranked.orderBy(F.desc("degree"), "id").limit(limit)) if limit and total > limit else ranked
     count = min(total, limit) if limit else total
     top = max(1, kept.agg(F.max("degree")).first()[0] or 1)
     size = F.least(F.greatest((10 + F.col("degree") / top * 40).cast("int"), F.lit(10)), F.lit(50))
@@ -105,20 +105,23 @@ def capped(
 def pagerank(graph: Graph, alpha: float = 0.85, max_iter: int = 100, tol: float | None = 1e-6) -> DataFrame:
     """id, rank. Nodes without outgoing edges spread their rank evenly. Stops when the ranks' L1 change is under
     nodes * tol; with a tol of None it takes max_iter steps. One shuffle of the edges' ends a step, with partial sums."""
-    out = graph.edges.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("_out"))
+    edges = cut(graph.edges.select(F.col("source").alias("id"), "target"))
+    out = edges.groupBy("id").agg(F.count("*").alias("_out"))
     ids = cut(
         graph.nodes.select("id").distinct().join(out, "id", "left").select("id", F.col("_out").isNull().alias("_end"))
     )
     n, ends = ids.agg(F.count("*"), F.count_if("_end")).first()
     if not n:
         return ids.select("id", F.lit(0.0).alias("rank"))
-    shares = cut(graph.edges.select(F.col("source").alias("id"), "target").join(out, "id"))
+    # Edges that repeat are one row of their weight.
+    weights = edges.groupBy("id", "target").agg(F.count("*").alias("_w")).join(out, "id")
+    shares = cut(weights.select("id", "target", (F.col("_w") / F.col("_out")).alias("_w")))
     rank, lost = ids.withColumn("rank", F.lit(1.0 / n)), ends / n
     for _ in range(max_iter):
         given = (
             shares.join(rank.select("id", "rank"), "id")
             .groupBy(F.col("target").alias("id"))
-            .agg(F.sum(F.col("rank") / F.col("_out")).alias("_in"))
+            .agg(F.sum(F.col("rank") * F.col("_w")).alias("_in"))
         )
         base = (1 - alpha) / n + alpha * lost / n
         new = cut(

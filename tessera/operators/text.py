@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.paths import glob_regex, language
+from tessera.plans.scratch import cut
 
 # The limits of searches and excerpts.
 FILE_MATCHES, PROJECT_MATCHES, PROJECT_CHARS, SECTION_LINES, CONTENT_BYTES = 200, 500, 200_000, 800, 2_000_000
@@ -77,10 +78,15 @@ def project_grep(texts: DataFrame, sought: str, globs: str = "*.py", regex: bool
     wanted = F.lit(False)
     for g in names:
         wanted = wanted | base.rlike(glob_regex(g))
-    found = grep(texts.where(wanted), sought, regex, context, None)
+    fit = texts.where(wanted)
+    # The first matches by their places alone; only their texts are cut into contexts.
+    places = grep(fit, sought, regex, 0, None).select("path", "line_no").orderBy("path", "line_no").limit(PROJECT_MATCHES)
+    places = F.broadcast(cut(places))
+    some = fit.join(F.broadcast(places.select("path").distinct()), "path", "left_semi")
+    found = grep(some, sought, regex, context, None).join(places, ["path", "line_no"], "left_semi")
     chars = lambda c: F.aggregate(F.col(c), F.lit(0), lambda s, x: s + F.length(x))
     size = F.length("text") + chars("context_before") + chars("context_after")
-    first = found.withColumn("_size", size).orderBy("path", "line_no").limit(PROJECT_MATCHES)
+    first = found.withColumn("_size", size)
     before = F.sum("_size").over(Window.orderBy("path", "line_no").rowsBetween(Window.unboundedPreceding, -1))
     return first.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < PROJECT_CHARS).drop("_size", "_before")
 
@@ -94,10 +100,10 @@ def section(texts: DataFrame, path: str, start: int, end: int) -> DataFrame:
 def content(texts: DataFrame, path: str) -> DataFrame:
     """path, text, size, truncated, language: a whole text, up to CONTENT_BYTES."""
     size = F.octet_length("content")
-    cut = F.decode(F.substring(F.encode("content", "UTF-8"), 1, CONTENT_BYTES), "UTF-8")
+    head = F.decode(F.substring(F.encode("content", "UTF-8"), 1, CONTENT_BYTES), "UTF-8")
     return texts.where(F.col("path") == path).select(
         "path",
-        F.when(size > CONTENT_BYTES, cut).otherwise(F.col("content")).alias("text"),
+        F.when(size > CONTENT_BYTES, head).otherwise(F.col("content")).alias("text"),
         size.alias("size"),
         (size > CONTENT_BYTES).alias("truncated"),
         language(F.col("path")).alias("language"),

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.graph import Graph
-from tessera.plans.scratch import cut, small
+from tessera.plans.scratch import BROADCAST_ROWS, cut
+
+#: Levels after which what was reached is written as one table.
+CUT_LEVELS = 8
 
 
 def steps(edges: DataFrame, direction: str) -> DataFrame:
@@ -25,28 +28,26 @@ def reach(pairs: DataFrame, starts: DataFrame, depth: int | None, *, emit_start:
     """
     keys = ["id", *([by] if by else [])]
     frontier = cut(starts.select(*keys).distinct())
-    seen = frontier.limit(0) if emit_start else frontier
-    levels = []
-    level = 0
-    while depth is None or level < depth:
+    if depth != 1:
+        pairs = cut(pairs.distinct())  # each level reads the pairs, not what they were made of
+    seen = frontier.withColumn("depth", F.lit(0))
+    out, level = seen.limit(0), 0
+    n = frontier.count()
+    while n and (depth is None or level < depth):
         level += 1
         found = (
-            small(frontier)
+            (F.broadcast(frontier) if n <= BROADCAST_ROWS else frontier)
             .join(pairs, F.col("id") == F.col("here"))
             .select(F.col("there").alias("id"), *keys[1:])
             .distinct()
-            .join(seen, keys, "left_anti")
         )
-        frontier = cut(found)
-        if frontier.isEmpty():
-            break
-        levels.append(frontier.withColumn("depth", F.lit(level)))
-        seen = seen.unionByName(frontier)
-    if not levels:
-        return frontier.limit(0).withColumn("depth", F.lit(0))
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
+        known = out if emit_start else seen.unionByName(out)
+        frontier = cut(found.join(known.select(*keys), keys, "left_anti") if level > 1 or not emit_start else found)
+        n = frontier.count()
+        if n:
+            out = out.unionByName(frontier.withColumn("depth", F.lit(level)))
+            # The plan of a long chain of levels stays as short as that of a few.
+            out = cut(out) if level % CUT_LEVELS == 0 else out
     return out
 
 
@@ -96,9 +97,10 @@ def affected(deps: DataFrame, dirty: DataFrame, hops: int = 1) -> DataFrame:
 def entry_depth(graph: Graph) -> DataFrame:
     """id, y: steps from the nodes that nothing calls, along calls and defines, scaled so that the deepest has 360;
     180 for what isn't reached, 0 if all are entries."""
-    called = graph.edges.where("type = 'calls'").select(F.col("target").alias("id")).distinct()
-    entries = graph.nodes.select("id").join(called, "id", "left_anti")
-    pairs = steps(graph.of_types(["calls", "defines"]), "out")
+    edges = cut(graph.of_types(["calls", "defines"]).select("source", "target", "type"))
+    called = edges.where("type = 'calls'").select(F.col("target").alias("id")).distinct()
+    entries = cut(graph.nodes.select("id").join(called, "id", "left_anti"))
+    pairs = steps(edges, "out")
     depths = entries.distinct().withColumn("depth", F.lit(0)).unionByName(reach(pairs, entries, None, emit_start=False))
     depths = cut(depths)
     most = depths.agg(F.max("depth")).first()[0] or 0

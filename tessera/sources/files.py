@@ -148,12 +148,36 @@ PARSED = T.StructType(
 )
 
 
+def _row(path: str, raw: bytes, mtime_ns: int, size: int, parsers: list[Parser]) -> dict:
+    p = registry.dispatch(path, parsers)
+    text = raw.decode("latin-1") if p and p.name == "pdf_pypdf" else raw.decode("utf-8", "replace")
+    found, parser, error = registry.parse(path, text, parsers)
+    nodes, edges, calls, imports = registry.rows(path, found, hashlib.md5(raw).hexdigest())
+    names = {f.name for f in NODE}
+    return {
+        "rel_path": path, "sha256": hashlib.sha256(raw).hexdigest(), "mtime_ns": mtime_ns, "size": size, "parser": parser, "error": error,
+        "nodes": [{k: v for k, v in n.items() if k in names} for n in nodes], "edges": edges, "calls": calls, "imports": imports,
+    }
+
+
+def parse_texts(texts: DataFrame, parsers: list[Parser]) -> DataFrame:
+    """parse() of files whose contents are at hand: texts (path, content). Null contents are empty; stamps are 0."""
+    arrow = to_arrow_schema(PARSED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                raw = (row["content"] or "").encode("utf-8", "replace")
+                yield pa.RecordBatch.from_pylist([_row(row["path"], raw, 0, len(raw), parsers)], schema=arrow)
+
+    return texts.select("path", "content").mapInArrow(run, PARSED)
+
+
 def parse(files: DataFrame, root: str, parsers: list[Parser]) -> DataFrame:
     """One row for each file (rel_path, mtime_ns, size) with what its parser found. Each file is read once, for its hash
     and its parse. A file without a parser, or that can't be parsed, is still a file node; what went wrong stands in
     error. A file that is gone meanwhile has no row."""
     arrow = to_arrow_schema(PARSED)
-    names = {f.name for f in NODE}
     local = root.removeprefix("file://")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,15 +189,7 @@ def parse(files: DataFrame, root: str, parsers: list[Parser]) -> DataFrame:
                         raw = f.read()
                 except OSError:
                     continue
-                p = registry.dispatch(path, parsers)
-                text = raw.decode("latin-1") if p and p.name == "pdf_pypdf" else raw.decode("utf-8", "replace")
-                found, parser, error = registry.parse(path, text, parsers)
-                nodes, edges, calls, imports = registry.rows(path, found, hashlib.md5(raw).hexdigest())
-                told = {
-                    "rel_path": path, "sha256": hashlib.sha256(raw).hexdigest(), "mtime_ns": row["mtime_ns"], "size": row["size"],
-                    "parser": parser, "error": error, "nodes": [{k: v for k, v in n.items() if k in names} for n in nodes],
-                    "edges": edges, "calls": calls, "imports": imports,
-                }
+                told = _row(path, raw, row["mtime_ns"], row["size"], parsers)
                 yield pa.RecordBatch.from_pylist([told], schema=arrow)
 
     return files.select("rel_path", "mtime_ns", "size").mapInArrow(run, PARSED)
