@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -36,6 +37,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle and checkpoint files that no table needs any more, which it does once the driver's
+    collector has met them. A long operator calls it between its steps, so that disks don't hold all of them at once."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
