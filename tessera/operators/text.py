@@ -18,6 +18,18 @@ class PatternError(ValueError):
     """A search pattern that isn't a valid regular expression."""
 
 
+class RangeError(ValueError):
+    """Line numbers that are no range."""
+
+
+class ChangedError(ValueError):
+    """A text that isn't the expected one any more."""
+
+
+class NotFoundError(LookupError):
+    """A path or name that isn't there."""
+
+
 def lines(texts: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """path, n, text: lines from 1. \\r\\n and \\r end lines too; a text's last empty piece is none."""
     flat = F.regexp_replace(F.col(content), "\r\n?", "\n")
@@ -91,8 +103,21 @@ def project_grep(texts: DataFrame, sought: str, globs: str = "*.py", regex: bool
     return first.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < PROJECT_CHARS).drop("_size", "_before")
 
 
+def checked(texts: DataFrame, path: str, md5: str | None = None) -> DataFrame:
+    """The row of a path. NotFoundError if there is none, ChangedError if its MD5 isn't the expected one."""
+    found = texts.where(F.col("path") == path)
+    told = found.select(F.md5(F.col("content").cast("binary"))).first()
+    if told is None:
+        raise NotFoundError(f"no such file: {path}")
+    if md5 is not None and told[0] != md5:
+        raise ChangedError(f"{path} has changed: its MD5 is {told[0]}, not {md5}")
+    return found
+
+
 def section(texts: DataFrame, path: str, start: int, end: int) -> DataFrame:
-    """Lines start..end of one text, SECTION_LINES at most."""
+    """Lines start..end of one text, SECTION_LINES at most. RangeError for a range that can't be."""
+    if start < 1 or end < start:
+        raise RangeError(f"invalid range: {start} to {end}")
     last = min(end, start + SECTION_LINES - 1)
     return lines(texts.where(F.col("path") == path)).where(F.col("n").between(start, last)).orderBy("n")
 

@@ -85,17 +85,26 @@ class KnowledgeGraph:
     def file_stats(self) -> DataFrame:
         return text.file_stats(self.texts, self.graph.nodes)
 
-    def file_section(self, path: str, start: int, end: int) -> DataFrame:
-        return text.section(self.texts, path, start, end)
+    def file_section(self, path: str, start: int, end: int, md5: str | None = None) -> DataFrame:
+        """Lines of a file; with md5 only if the file is still the one that was read before."""
+        return text.section(text.checked(self.texts, path, md5), path, start, end)
 
     def file_content(self, path: str) -> DataFrame:
         return text.content(self.texts, path)
 
-    def function_source(self, path: str, name: str) -> DataFrame:
-        """Lines and source of the functions, methods or classes of that name in a file."""
+    def function_source(self, path: str, name: str, md5: str | None = None) -> DataFrame:
+        """Lines and source of the functions, methods or classes of that name in a file; Class.method means a method of
+        that class. NotFoundError if there is none."""
+        text.checked(self.texts, path, md5)
         n = self.graph.nodes
-        named = (n["path"] == path) & (n["name"] == name) & n["type"].isin("function", "method", "class")
-        return n.where(named).select("id", "type", "line_start", "line_end", "source")
+        owner, _, last = name.rpartition(".")
+        named = (n["path"] == path) & (n["name"] == last) & n["type"].isin("function", "method", "class")
+        if owner:
+            named = named & (n["parent_class"] == owner)
+        found = n.where(named).select("id", "type", "line_start", "line_end", "source")
+        if found.isEmpty():
+            raise text.NotFoundError(f"no function, method or class {name} in {path}")
+        return found
 
     def file_search(self, path: str, pattern: str, regex: bool = True, context: int = 5) -> DataFrame:
         return text.grep(self.texts.where(self.texts["path"] == path), pattern, regex, context)

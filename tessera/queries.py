@@ -62,7 +62,7 @@ coords AS (SELECT id, type, name, path, key * 7919 % 3600 / 10.0 AS x, key * 104
   FROM nodes WHERE key IS NOT NULL)
 """
 TEXT_SQL = """
-texts AS (SELECT 'docs/' || lang || '/' || doc_id || '.txt' AS path, coalesce(text, '') AS content FROM documents),
+texts AS (SELECT 'docs/' || coalesce(lang, 'none') || '/' || doc_id || '.txt' AS path, coalesce(text, '') AS content FROM documents),
 pieces AS (SELECT path, string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS p
   FROM texts),
 kept AS (SELECT path, CASE WHEN p[len(p)] = '' THEN p[:len(p) - 1] ELSE p END AS p FROM pieces),
@@ -471,26 +471,20 @@ def line_counts(spark, sf_dir):
     return text.lines(T.star_texts(spark, sf_dir)).groupBy("path").agg(F.count("*").alias("n"))
 
 
-def _headings(spark, sf_dir):  # noqa: ANN001, ANN202
-    """Lines as headings: their level is their length modulo 6, from 1."""
-    rows = text.lines(T.star_texts(spark, sf_dir).where("path like 'docs/es/%'"))
-    return rows.select("path", F.col("n").alias("line_start"), (F.length("text") % 6 + 1).alias("level"), F.substring("text", 1, 20).alias("name"))
+def _parents_sql() -> str:
+    """For each level, the last earlier heading of it; the parent is the latest of those of smaller levels."""
+    before = "OVER (PARTITION BY path ORDER BY line_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    last = ", ".join(f"CASE WHEN level > {k} THEN max(CASE WHEN level = {k} THEN line_start END) {before} END" for k in range(1, 6))
+    return f"greatest({last})"
 
 
-@register(f"""WITH {TEXT_SQL}, h AS (SELECT path, n AS line_start, CAST(length(text) % 6 + 1 AS INT) AS level, substr(text, 1, 20) AS name FROM lines WHERE path LIKE 'docs/es/%')
-  SELECT path, line_start, level, name, coalesce(lead(line_start) OVER (PARTITION BY path ORDER BY line_start) - 1, count(*) OVER (PARTITION BY path)) AS line_end,
-  (SELECT max_by(b.name, b.line_start) FROM h b WHERE b.path = a.path AND b.line_start < a.line_start AND b.level < a.level) AS parent_section FROM h a""", graph=False)
+@register(f"""WITH {TEXT_SQL}, h AS (SELECT path, n AS line_start, CAST(length(text) % 6 + 1 AS INT) AS level, substr(text, 1, 20) AS name FROM lines),
+  up AS (SELECT *, {_parents_sql()} AS parent_line, coalesce(lead(line_start) OVER (PARTITION BY path ORDER BY line_start) - 1, count(*) OVER (PARTITION BY path)) AS line_end FROM h)
+  SELECT up.path, up.line_start, up.level, up.name, CAST(line_end AS INT) AS line_end, h.name AS parent_section
+  FROM up LEFT JOIN h ON h.path = up.path AND h.line_start = up.parent_line""", graph=False)
 def section_spans(spark, sf_dir):
-    totals = text.lines(T.star_texts(spark, sf_dir)).groupBy("path").agg(F.count("*").alias("lines"))
-    return text.spans(_headings(spark, sf_dir), totals)
-
-
-@register()
-def section_spans_whole(spark, sf_dir):
-    """All documents, those without a language too, whose path section_spans doesn't have."""
-    path = F.concat(F.lit("docs/"), F.coalesce("lang", F.lit("none")), F.lit("/"), F.col("doc_id"), F.lit(".txt"))
-    docs = T.table(spark, sf_dir, "documents").select(path.alias("path"), F.coalesce("text", F.lit("")).alias("content"))
-    rows = text.lines(docs)
+    """Lines as headings: their level is their length modulo 6, from 1."""
+    rows = text.lines(T.star_texts(spark, sf_dir))
     heads = rows.select("path", F.col("n").alias("line_start"), (F.length("text") % 6 + 1).alias("level"), F.substring("text", 1, 20).alias("name"))
     return text.spans(heads, rows.groupBy("path").agg(F.count("*").alias("lines")))
 

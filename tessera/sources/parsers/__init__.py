@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import replace
+from functools import partial
 
 from tessera.sources.parsers import code, config, markup, python
 from tessera.sources.parsers.base import Parsed, Parser
@@ -20,11 +21,17 @@ def registry(settings: dict[str, dict] | None = None, text: bool = True) -> list
     # Special files before the formats that they are written in, so that no parser is shadowed.
     special = ("docker_compose1", "github_actions1", "jsonschema", "k8s_manifest1", "maven1", "openapi3", "gradle1")
     found.sort(key=lambda p: (p.name not in special, p.name == "node20", p.name))
-    out = [replace(p, config=(settings or {}).get(p.name, {})) for p in found]
+    out = [_configured(p, (settings or {}).get(p.name, {})) for p in found]
     out = [p for p in out if p.config.get("enabled", True) is not False]
     return [*out, markup.text_parser()] if text else out
 
 
+def _configured(parser: Parser, config: dict) -> Parser:
+    if config and parser.parse is python.parse_python:
+        return replace(parser, config=config, parse=partial(python.parse_python, settings=config))
+    return replace(parser, config=config)
+
+
 def dispatch(path: str, parsers: list[Parser]) -> Parser | None:
     return next((p for p in parsers if p.can_parse(path)), None)
 

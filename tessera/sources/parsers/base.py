@@ -66,9 +66,13 @@ def imported(module: str, line: int, names: list[str] | None = None, alias: str
     return {"module": module, "names": names or [], "alias": alias, "line": line, "level": 0}
 
 
-def comment(text: str, line: int) -> list[dict]:
+def tag_pattern(tags: tuple[str, ...]) -> re.Pattern[str]:
+    return re.compile(rf"\b({'|'.join(map(re.escape, tags))})\b[:\s]*(.*)", re.I)
+
+
+def comment(text: str, line: int, tagged: re.Pattern[str] = TAGGED) -> list[dict]:
     """The comment, if it has a tag."""
-    m = TAGGED.search(text)
+    m = tagged.search(text)
     return [{"line": line, "tag": m[1].upper(), "text": m[2].strip().removesuffix("*/").strip()}] if m else []
 
 

@@ -8,7 +8,7 @@ import io
 import re
 import tokenize
 
-from tessera.sources.parsers.base import Parser, comment, result, variable
+from tessera.sources.parsers.base import TAGGED, Parser, comment, result, tag_pattern, variable
 
 # Frameworks by the root of what is imported.
 FRAMEWORKS = ("flask", "django", "fastapi", "click", "argparse", "sqlalchemy", "pydantic", "asyncio", "celery", "pytest", "unittest")
@@ -56,15 +56,16 @@ def _callable(node: ast.FunctionDef | ast.AsyncFunctionDef, lines: list[str], ne
     calls, contexts, raised, complexity = [], [], [], 1
     for x in ast.walk(node):
         if isinstance(x, ast.Call) and (name := _dotted(x.func)):
-            calls.append({"name": name, "args": [ast.unparse(a) for a in x.args], "line": x.lineno})
+            named = [f"{k.arg}={ast.unparse(k.value)}" if k.arg else f"**{ast.unparse(k.value)}" for k in x.keywords]
+            calls.append({"name": name, "args": [*map(ast.unparse, x.args), *named], "line": x.lineno})
         elif isinstance(x, (ast.With, ast.AsyncWith)):
             contexts += [ast.unparse(i.context_expr) for i in x.items]
-        elif isinstance(x, ast.ExceptHandler) and x.type is not None:
-            raised.append(ast.unparse(x.type))
+        elif isinstance(x, ast.ExceptHandler) and x.type is not None and (kind := ast.unparse(x.type)) not in raised:
+            raised.append(kind)
         complexity += isinstance(x, _BRANCHES)
         if isinstance(x, ast.BoolOp):
             complexity += len(x.values) - 1
-    start = min([node.lineno, *(d.lineno for d in node.decorator_list)])
+    start = node.lineno
     params = _params(node.args)
     names = [p["name"] for p in params]
     return {
@@ -73,7 +74,7 @@ def _callable(node: ast.FunctionDef | ast.AsyncFunctionDef, lines: list[str], ne
         "line_end": node.end_lineno,
         "source": "\n".join(lines[start - 1 : node.end_lineno]),
         "calls": calls,
-        "args": names,
+        "args": [a.arg for a in node.args.args],
         "params": params,
         "return_annotation": _text(node.returns),
         "decorators": [ast.unparse(d) for d in node.decorator_list],
@@ -128,8 +129,11 @@ def _is_checking(test: ast.AST) -> bool:
     return (_dotted(test) or "").split(".")[-1] == "TYPE_CHECKING"
 
 
-def parse_python(path: str, source: str) -> dict | None:
-    """None if the source isn't valid Python."""
+def parse_python(path: str, source: str, settings: dict | None = None) -> dict | None:
+    """None if the source isn't valid Python. settings: comment_tags, tags of comments; known_patterns, a list of import
+    prefixes for each framework's label; detect_patterns and extract_comments, which may be false."""
+    settings = settings or {}
+    tagged = tag_pattern(tuple(settings["comment_tags"])) if settings.get("comment_tags") else TAGGED
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError):
@@ -175,13 +179,18 @@ def parse_python(path: str, source: str) -> dict | None:
     try:
         for t in tokenize.generate_tokens(io.StringIO(source).readline):
             if t.type == tokenize.COMMENT:
-                comments += comment(t.string, t.start[0])
+                comments += comment(t.string, t.start[0], tagged)
     except (tokenize.TokenError, IndentationError, SyntaxError):
         pass
-    roots = {i["module"].split(".")[0] for i in imports}
-    frameworks = {f for f in FRAMEWORKS if f in roots}
+    modules = [f"{i['module']}." for i in imports]
+    labels = settings.get("known_patterns") or {f: [f] for f in FRAMEWORKS}
+    frameworks = {n for n, heads in labels.items() if any(m.startswith(f"{h.rstrip('.')}.") for h in heads for m in modules)}
     if any(f["is_test"] for f in functions):
         frameworks.add("pytest")
+    if settings.get("detect_patterns", True) is False:
+        frameworks = set()
+    if settings.get("extract_comments", True) is False:
+        comments = []
     return result(
         path,
         functions=functions,

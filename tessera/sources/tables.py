@@ -113,7 +113,7 @@ def star_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def star_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content: documents as files."""
     return table(spark, sf_dir, "documents").select(
-        F.concat(F.lit("docs/"), F.col("lang"), F.lit("/"), F.col("doc_id"), F.lit(".txt")).alias("path"),
+        F.concat(F.lit("docs/"), F.coalesce("lang", F.lit("none")), F.lit("/"), F.col("doc_id"), F.lit(".txt")).alias("path"),
         F.coalesce("text", F.lit("")).alias("content"),
     )
 

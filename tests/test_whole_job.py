@@ -37,7 +37,7 @@ def test_sections_of_all_documents(spark, tmp_path):
             up = [rows[k] for k in range(n) if levels[k] < levels[n]]
             end = n + 1 if n + 1 < len(rows) else len(rows)
             want.add((f"docs/{lang or 'none'}/{i}.txt", n + 1, levels[n], row[:20], end, up[-1] if up else None))
-    got = QUERIES["section_spans_whole"](spark, str(tmp_path))
+    got = QUERIES["section_spans"](spark, str(tmp_path))
     assert {tuple(r) for r in got.select("path", "line_start", "level", "name", "line_end", "parent_section").collect()} == want
 
 
