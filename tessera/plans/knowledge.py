@@ -95,7 +95,8 @@ class KnowledgeGraph:
     def function_source(self, path: str, name: str, md5: str | None = None) -> DataFrame:
         """Lines and source of the functions, methods or classes of that name in a file; Class.method means a method of
         that class. NotFoundError if there is none."""
-        text.checked(self.texts, path, md5)
+        if md5 is not None:
+            text.checked(self.texts, path, md5)
         n = self.graph.nodes
         owner, _, last = name.rpartition(".")
         named = (n["path"] == path) & (n["name"] == last) & n["type"].isin("function", "method", "class")
