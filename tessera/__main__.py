@@ -8,9 +8,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.functions.encode import tabular
-from tessera.operators import rank, vector
 from tessera.plans import ingest
-from tessera.plans.graph import Graph
+from tessera.plans.enrich import enriched
 from tessera.plans.knowledge import KnowledgeGraph
 from tessera.plans.project import Project
 from tessera.sources.store import Store
@@ -27,12 +26,8 @@ def _index(spark: SparkSession, args: argparse.Namespace, project: Project, stor
         index = ingest.update(before, spark, project.root, filters=project.as_filters())
     else:
         index = ingest.build(spark, project.root, filters=project.as_filters())
-    nodes = index.graph.nodes
-    if not args.no_embeddings:
-        nodes = vector.embed_nodes(nodes)
-    if not args.no_spatial:
-        nodes = nodes.drop("spatial").join(rank.coordinates(Graph(nodes, index.graph.edges)), "id", "left")
-    store.save_graph(Graph(nodes, index.graph.edges), parsed=index.parsed)
+    graph = enriched(index.graph, before.graph if old else None, not args.no_embeddings, not args.no_spatial)
+    store.save_graph(graph, parsed=index.parsed)
     project.record(index.stats)
     print(index.stats)
 
@@ -42,7 +37,7 @@ def _watch(spark: SparkSession, args: argparse.Namespace, project: Project, stor
 
     index = ingest.build(spark, project.root, filters=project.as_filters())
     folder = os.path.join(project.root, ".tessera")
-    watcher = changes.Watcher(index, spark, project.root, on_update=print)
+    watcher = changes.Watcher(index, spark, project.root, on_update=print, enrich=enriched)
     stream = changes.file_changes(spark, project.root, os.path.join(folder, "snapshots"))
     watcher.start(stream, os.path.join(folder, "watch"), "1 second").awaitTermination()
 

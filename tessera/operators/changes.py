@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.paths import file_of
 from tessera.plans.graph import Graph
+from tessera.schema import REINDEX_RUN
 
 
 def node_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -73,6 +74,17 @@ def last_runs(runs: DataFrame, n: int = 100) -> DataFrame:
     return runs.orderBy(F.desc("started_at")).limit(n)
 
 
+def recorded(runs: DataFrame, run: dict, n: int = 100) -> DataFrame:
+    """The history with one more run, of which the last n stay. run: the columns of REINDEX_RUN; missing ones are null."""
+    row = tuple(run.get(f.name) for f in REINDEX_RUN)
+    return last_runs(runs.unionByName(runs.sparkSession.createDataFrame([row], REINDEX_RUN)), n)
+
+
+def next_strategy(runs: DataFrame, configured: str = "auto", foreground: bool = True, after: int = 50) -> str:
+    """What the next run does: a full build once the last ``after`` runs were all incremental, else strategy()."""
+    return "full" if force_full(runs, after).first()["force"] else strategy(configured, foreground)
+
+
 def force_full(runs: DataFrame, after: int = 50) -> DataFrame:
     """force: whether the last ``after`` runs were all incremental."""
     return last_runs(runs, after).agg((F.count_if(F.col("strategy") != "full") >= after).alias("force"))

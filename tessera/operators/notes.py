@@ -196,6 +196,17 @@ def search_sessions(turns: DataFrame, sought: str, newest: int = 100, limit: int
     return hits.select("conv_id").distinct().orderBy(F.desc("conv_id")).limit(limit)
 
 
+def search_threads(threads: DataFrame, sought: str, newest: int = 100, limit: int = 20) -> DataFrame:
+    """Rows of the threads, among the ``newest`` by time, with the text in any case in their title, a tag or a message;
+    the latest first, ties by id. Threads without a time are the oldest. A table without a column tags has none."""
+    new = threads.orderBy(F.desc_nulls_last("updated_at"), "id").limit(newest)
+    has = lambda c: F.coalesce(F.contains(F.lower(c), F.lit(sought.lower())), F.lit(False))
+    hit = has(F.col("title")) | F.coalesce(F.exists("messages", lambda m: has(m["content"])), F.lit(False))
+    if "tags" in threads.columns:
+        hit = hit | F.coalesce(F.exists("tags", has), F.lit(False))
+    return new.where(hit).orderBy(F.desc_nulls_last("updated_at"), "id").limit(limit)
+
+
 def keep_last(turns: DataFrame, n: int) -> DataFrame:
     """The last n turns of each conversation."""
     from tessera.operators.changes import last_per_key

@@ -263,7 +263,7 @@ _JS = Language(
     ),
     variables=(rf"^(?:export\s+)?(?:const|let|var)\s+(?P<name>{ID})\s*(?::[^=\n]+)?=\s*(?!(?:async\s+)?(?:function\b|\([^()]*\)\s*=>|{ID}\s*=>))(?P<value>[^;\n]*)",),
     strings=STRINGS + r"|`(?:\\.|[^`\\])*`",
-    words=frozenset("constructor import export require of delete void instanceof".split()) - {"constructor"} - {"require"},
+    words=frozenset("import export of delete void instanceof".split()),
 )
 
 LANGUAGES: dict[str, tuple[Language, tuple[str, ...]]] = {
@@ -302,7 +302,7 @@ LANGUAGES: dict[str, tuple[Language, tuple[str, ...]]] = {
             imports=(r"^import\s+(?:(?P<alias>[\w.]+)\s+)?\"(?P<module>[^\"\n]+)\"", r"^\s+(?:(?P<alias>[\w.]+)\s+)?\"(?P<module>[\w./-]+)\"\s*$"),
             variables=(rf"^(?:var|const)\s+(?P<name>{ID})(?:\s+[\w\[\]*.]+)?\s*(?:=\s*(?P<value>[^\n]*))?",),
             strings=STRINGS + r"|`[^`]*`",
-            words=frozenset("select go defer range make len cap append panic print println new".split()) - {"new"},
+            words=frozenset("select go defer range make len cap append panic print println".split()),
         ),
         ("*.go",),
     ),

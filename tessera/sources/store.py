@@ -42,6 +42,13 @@ class Store:
             self._fs.delete(self._sub(f"v={old}"), True)
         return v
 
+    def tables(self) -> list[str]:
+        """The names of the current version's tables."""
+        have = self.versions()
+        if not have:
+            return []
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._sub(f"v={have[-1]}")) if s.isDirectory())
+
     def load(self, name: str, version: int | None = None) -> DataFrame:
         have = self.versions()
         if not have:
@@ -58,8 +65,9 @@ class Store:
     def save_graph(self, graph: Graph, **more: DataFrame) -> int:
         return self.save({"nodes": graph.nodes, "edges": graph.edges, **more})
 
-    def save_diff(self, nodes: DataFrame, edges: DataFrame, gone_nodes: DataFrame, gone_edges: DataFrame) -> int:
-        """The current version with nodes and edges put in or replaced, and those gone (id; source, target) left out."""
+    def save_diff(self, nodes: DataFrame, edges: DataFrame, gone_nodes: DataFrame, gone_edges: DataFrame, **more: DataFrame) -> int:
+        """The current version with nodes and edges put in or replaced, and those gone (id; source, target) left out. The
+        version's other tables stay as they are, unless ``more`` has them anew."""
         old = self.graph()
         drop = gone_nodes.select("id").union(nodes.select("id")).distinct()
         keys = ["source", "target"]
@@ -68,6 +76,8 @@ class Store:
             {
                 "nodes": old.nodes.join(drop, "id", "left_anti").unionByName(nodes, allowMissingColumns=True),
                 "edges": old.edges.join(drop_edges, keys, "left_anti").unionByName(edges, allowMissingColumns=True),
+                **{t: self.load(t) for t in self.tables() if t not in ("nodes", "edges")},
+                **more,
             }
         )
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
 
+from tessera.plans.graph import Graph
 from tessera.plans.ingest import Index, update
 from tessera.sources.files import TreeReader, _Top
 
@@ -96,17 +97,22 @@ def file_changes(spark: SparkSession, root: str, state: str) -> DataFrame:
 
 class Watcher:
     """Keeps an index up to date with a stream of changes. Each trigger is one update of what changed since the last, so
-    several changes of one file are one; a trigger without changes does nothing. on_update gets a message row."""
+    several changes of one file are one; a trigger without changes does nothing. on_update gets a message row.
 
-    def __init__(self, index: Index, spark: SparkSession, root: str, strategy: str = "resolve_local", on_update: Callable[[dict], None] | None = None) -> None:
+    enrich: what gives a graph its embeddings and coordinates, as plans.enrich.enriched, of the new graph and the enriched
+    one before; ``graph`` is its result, else the index's graph. The message is of the index, whose nodes don't move."""
+
+    def __init__(self, index: Index, spark: SparkSession, root: str, strategy: str = "resolve_local", on_update: Callable[[dict], None] | None = None, enrich: Callable[[Graph, Graph | None], Graph] | None = None) -> None:
         self.index, self.spark, self.root, self.strategy, self.on_update = index, spark, root, strategy, on_update
+        self.enrich = enrich
+        self.graph = enrich(index.graph, None) if enrich else index.graph
 
     def apply(self, batch: DataFrame, number: int) -> None:
         told = {r["op"]: r["paths"] for r in batch.groupBy("op").agg(F.sort_array(F.collect_set("path")).alias("paths")).collect()}
         if not told:
             return
         before = self.index
-        self.index = update(before, self.spark, self.root, self.strategy)
+        self.refresh(self.strategy)
         if self.on_update is not None:
             from tessera.operators.changes import node_diff
 
@@ -123,6 +129,10 @@ class Watcher:
                     }
                 )
 
+    def refresh(self, strategy: str) -> None:
+        self.index = update(self.index, self.spark, self.root, strategy)
+        self.graph = self.enrich(self.index.graph, self.graph) if self.enrich else self.index.graph
+
     def start(self, changes: DataFrame, checkpoint: str, every: str | None = None) -> StreamingQuery:
         """every: seconds between looks, as "1 second"; None takes what there is now and ends."""
         w = changes.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint)
@@ -131,4 +141,4 @@ class Watcher:
 
 def sweep(watcher: Watcher) -> None:
     """A full pass, for what a stream may have missed."""
-    watcher.index = update(watcher.index, watcher.spark, watcher.root, "resolve_full")
+    watcher.refresh("resolve_full")

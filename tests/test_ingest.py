@@ -10,6 +10,7 @@ import pytest
 
 from tessera.operators import changes
 from tessera.plans import ingest
+from tessera.plans.enrich import enriched
 from tessera.plans.knowledge import KnowledgeGraph
 from tessera.schema import EDGE, NODE, conform
 from tessera.sources import files, store
@@ -136,6 +137,7 @@ def test_store(spark, tree, tmp_path):
     add = conform(spark.createDataFrame([("n", "func::pkg/a.py::f", "calls")], "source string, target string, type string"), EDGE)
     gone = index.graph.nodes.where("id = 'file::data.bin'").select("id")
     assert s.save_diff(new, add, gone, index.graph.edges.where("target = 'file::data.bin'").select("source", "target")) == 2
+    assert s.tables() == ["edges", "nodes", "parsed"] and s.load("parsed").count() == index.parsed.count()
     ids = {r["id"] for r in s.graph().nodes.collect()}
     assert "n" in ids and "file::data.bin" not in ids and ("n", "func::pkg/a.py::f", "calls") in edges(s.graph())
     s.save_graph(index.graph)
@@ -276,7 +278,8 @@ def test_html_details():
 def test_change_stream(spark, tree, tmp_path):
     index = ingest.build(spark, str(tree), tasks=2)
     told = []
-    w = stream.Watcher(index, spark, str(tree), on_update=told.append)
+    model = lambda number: lambda texts: [[number] for _ in texts]
+    w = stream.Watcher(index, spark, str(tree), on_update=told.append, enrich=lambda g, old: enriched(g, old, model=model(2.0 if old else 1.0)))
     changed = events.relevant(stream.file_changes(spark, str(tree), str(tmp_path / "snap")), ["py", "md"])
 
     def run():
@@ -285,12 +288,16 @@ def test_change_stream(spark, tree, tmp_path):
     run()  # the first look sees all files as new; nothing differs from the index
     assert told == []
     time.sleep(0.01)
-    write(tree, {"pkg/b.py": "class Base:\n    pass\n\ndef g(x):\n    return h(x)\n\ndef h(x):\n    return x\n"})
+    write(tree, {"pkg/b.py": "class Base:\n    pass\n\ndef g(x):\n    return h(x)\n\ndef h(x):\n    return x  # and nothing else, whatever x is\n"})
     os.remove(tree / "tests/test_a.py")
     run()
     assert len(told) == 1 and told[0]["deleted_files"] == ["tests/test_a.py"] and told[0]["changed_files"] == ["pkg/b.py"]
     assert "func::pkg/b.py::h" in told[0]["updated_nodes"] and "file::tests/test_a.py" in told[0]["removed_nodes"]
     assert edges(w.index.graph) == edges(ingest.build(spark, str(tree), tasks=2).graph)
+    # What was there keeps its embedding, new sources get one, and all nodes have coordinates.
+    got = {r["id"]: r for r in w.graph.nodes.select("id", "embedding", "spatial").collect()}
+    assert got["func::pkg/b.py::h"]["embedding"] == [2.0] and got["class::pkg/a.py::A"]["embedding"] == [1.0]
+    assert all(r["spatial"] is not None for r in got.values()) and len(got) == w.index.graph.nodes.count()
 
 
 def test_stream_of_events(spark, sf_dir):

@@ -188,3 +188,18 @@ def test_threads(spark):
     assert sorted((r["conv_id"], r["messages"], r["title"]) for r in notes.thread_summary(turns).collect()) == [(1, 2, "Hello"), (2, 1, "New Chat")]
     assert [r["conv_id"] for r in notes.search_sessions(turns, "HELLO").collect()] == [2, 1]
     assert notes.keep_last(turns, 1).count() == 2
+    tagged = threads.withColumn("tags", F.when(F.col("id") == "x", F.array(F.lit("Plan"))))
+    find = lambda df, text, **more: [r["id"] for r in notes.search_threads(df, text, **more).collect()]
+    assert find(tagged, "plan") == ["x"] and find(tagged, "NAMED") == ["y"] and find(threads, "Q") == ["y"]
+    assert find(threads, "n") == ["x", "y"] and find(threads, "n", newest=1) == ["x"] and find(threads.limit(0), "n") == []
+
+
+def test_history(spark):
+    from tessera.schema import REINDEX_RUN
+
+    t, runs = datetime(2024, 1, 1), spark.createDataFrame([], REINDEX_RUN)
+    assert changes.next_strategy(runs) == "resolve_local"
+    for k in range(4):
+        runs = changes.recorded(runs, {"started_at": t + timedelta(hours=k), "strategy": "resolve_full", "files_total": k}, 3)
+    assert [r["files_total"] for r in changes.last_runs(runs).collect()] == [3, 2, 1]
+    assert changes.next_strategy(runs, after=3) == "full" and changes.next_strategy(runs, foreground=False, after=4) == "resolve_full"
